@@ -87,7 +87,9 @@ def _merge_states(keys: Sequence[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
+            t = pa.Table.from_batches([batch]).select([*keys, "starts", "ends"])
+            for c in ("starts", "ends"):
+                t = t.set_column(t.schema.get_field_index(c), c, t[c].cast(pa.list_(pa.int32())))
             t = merged(pa.concat_tables([held, t]) if held is not None else t)
             yield from t.slice(0, t.num_rows - 1).to_batches()
             held = t.slice(t.num_rows - 1)
