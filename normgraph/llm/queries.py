@@ -1,6 +1,7 @@
 """Queries of the training-data operators."""
 
 from normgraph.llm.names import p1_entities, p1_found
+from normgraph.llm.near_duplicates import p4_found, p4_groups
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
