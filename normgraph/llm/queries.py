@@ -2,6 +2,7 @@
 
 from normgraph.llm.names import p1_entities, p1_found
 from normgraph.llm.near_duplicates import p4_found, p4_groups
+from normgraph.llm.tokens import p7_ids
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p4_groups": p4_groups}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
