@@ -3,7 +3,8 @@
 from normgraph.llm.leakage import p8_extent, p8_found
 from normgraph.llm.names import p1_entities, p1_found
 from normgraph.llm.near_duplicates import p4_found, p4_groups
+from normgraph.llm.sentences import p9_found
 from normgraph.llm.tokens import p7_ids
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_extent": p8_extent}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_extent": p8_extent, "p9_found": p9_found}
 SQL: dict[str, str] = {}
