@@ -43,7 +43,7 @@ _BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])(?:[^\S\n\r]*(?:\
 _LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85 ]")
 _THAI = regex.compile(r"\p{Thai}")
 _QUOTES = regex.compile(r"[“”„«»‹›‘’\"「」『』()（）\[\]]")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}]+$")
+_WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]+")
 _LIST = regex.compile(r"\s*(?:(?P<bullet>[–•・*▪●◦‣-])|[(（]\p{N}{1,4}[)）]|[(（]\p{L}[)）]|\p{L}\)|\p{N}{1,4}[)）]|\p{N}{1,4}、|\p{N}{1,4}(?:\.\p{N}+)*\.?[\s](?=\S))")
 _ENDS = r"(?P<mark>(?:\.(?![\p{Ll}\p{N}])|[。．｡!?！？।॥؟۔…;;])+)"
 _CLOSE = r"(?P<close>(?:[”’\"»›」』)）\]“]|[    ][»›](?!\p{L}))*)"
@@ -53,6 +53,7 @@ _PAIR = {"“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "
 _WIDE = "。．｡！？।॥"
 _REACH = 24
 _UNBALANCED = 6.0
+_HOPELESS = -2.5  # ends scored at most this are no candidates: neither balance nor length outweighs it
 
 
 def _wrap_width(lines: list[str]) -> tuple[int, bool]:
@@ -101,7 +102,7 @@ def _nature(text: str, at: int) -> str:
 
 def _after_point(text: str, at: int, gap: str, nxt: int, kind: str, closers: str, fresh: bool) -> float:
     """Score of an end at a single point at ``at``; ``fresh``: a line begins at the number before it."""
-    m = _WORD_BEFORE.search(text, max(0, at - 40), at)
+    m = _WORD_BEFORE.match(text, max(0, at - 40), at)
     tok = m.group() if m else ""
     before = text[m.start() - 1] if m and m.start() else " "
     if not gap and not closers:
@@ -168,7 +169,7 @@ class _Block:
             return -4.0, True
         if kind in "lc" or last in ",،、，&" or (kind == "-" and last not in ".!?"):
             return -3.0, True
-        tail = _WORD_BEFORE.search(line.rstrip("."))
+        tail = _WORD_BEFORE.match(line.rstrip("."))
         if tail and (line.endswith(".") and tail.group() in LEADING or not line.endswith(".") and tail.group().lower() in UNFINISHED and kind not in "o"):
             return -2.0, True
         return 4.0, False
@@ -212,7 +213,7 @@ class _Block:
                         score = max(score, at_line)
                     if score > 0:
                         fresh = nxt
-            if score > -9.0 and end > lo:
+            if score > _HOPELESS and end > lo:
                 out.append((end, nxt, score))
         return out
 
