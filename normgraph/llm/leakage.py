@@ -109,7 +109,7 @@ def _gram(weights, basis, dims: int):
                 row = ids % dims
                 v = w[row]
                 y = v @ b[row]
-                y /= max(1e-12, np.bincount(row, v).__pow__(2).sum())  # passages of unit norm
+                y /= max(1e-12, np.square(np.bincount(row, v)).sum())  # passages of unit norm
                 np.add.at(out, row, v[:, None] * y)
         blocks = range(0, dims, _BLOCK)
         yield pa.RecordBatch.from_pydict({"block": pa.array([lo // _BLOCK for lo in blocks], pa.int32()), "sums": pa.array([out[lo : lo + _BLOCK].tobytes() for lo in blocks], pa.binary())})
@@ -174,7 +174,7 @@ def _search(latent, key: str):
                 size = b - a
                 places = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 x = np.add.reduceat(m.vectors[row[places]], np.cumsum(size) - size)
-                cosine = (x @ m.passages.T) / np.sqrt(window[at])[:, None]
+                cosine = (x @ m.passages.T) / np.sqrt(np.maximum(window[at], 1e-12))[:, None]
                 who, which = np.nonzero(cosine >= m.least_cosine)
                 near = np.unique(who.astype(np.int64) << 32 | m.passage_item[which])
                 # check: does the window hold a run of the item?
@@ -252,7 +252,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
     energy = np.append(idf**2, 0.0)
     least = min(np.convolve(energy[np.array([vocabulary[w] for w in t]) % dims], np.ones(run), "valid").min() for t in texts if len(t) >= run)
     vectors = np.vstack([idf[:, None] * v, np.zeros(v.shape[1])]).astype(np.float32)
-    matrix = np.array([vectors[p % dims].sum(axis=0) / np.sqrt(np.square(np.bincount(p % dims, idf[p % dims])).sum()) for p in parts], dtype=np.float32)
+    matrix = np.array([vectors[p % dims].sum(axis=0) / max(1e-12, np.sqrt(np.square(np.bincount(p % dims, idf[p % dims])).sum())) for p in parts], dtype=np.float32)
     model = sc.broadcast(Latent(vectors, energy, matrix, np.array(owner, dtype=np.int64), keys[order], run_owner[order], float(least) * (1 - 1e-9), least_cosine, run))
     pairs = coded.mapInArrow(_search(model, "key"), f"key {kind}, item int")
     names = spark.createDataFrame([(n, r.id) for n, r in enumerate(rows)], f"item int, id {item_kind}")
