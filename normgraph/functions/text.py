@@ -80,7 +80,7 @@ def html_text(c: Column) -> Column:
         (r"[ \t\x0B\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
     ):
         c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def escape_literal(c: Column) -> Column:

@@ -62,7 +62,7 @@ DEFINITIONS = (
 )
 # Amendment phrases of draft bills.
 AMENDMENTS = (
-    ("strike_insert", r"(?is)\bstriking\s+[\"“]([^\"”]*)[\"”]\s+and\s+inserting\s+[\"“]([^\"”]*)[\"”]"),
+    ("strike_insert", r"(?is)\b(?:by\s+)?striking\s+[\"“]([^\"”]*)[\"”]\s+and\s+inserting\s+[\"“]([^\"”]*)[\"”]"),
     ("strike", r"(?is)\bby\s+striking\s+[\"“]([^\"”]*)[\"”]"),
     ("add", r"(?i)\bby\s+(?:adding|inserting)\s+(?:at\s+the\s+end|after\s+\S+\s+\S+)"),
     ("redesignate", r"(?i)\bby\s+redesignating\s+(\w+\s+\S+)\s+as\s+(\w+\s+\S+)"),
@@ -123,7 +123,7 @@ def temporal_qualifiers(documents: DataFrame, key: str = "doc_id", text: str = "
     """(key, kind, date, detail, start, matched)."""
     hits = scan_patterns(documents, TEMPORAL, key, text)
     detail = F.array_join(F.array_compact("groups"), " ")
-    return hits.select(key, F.col("rule").alias("kind"), F.try_to_date(detail, F.lit("d MMMM yyyy")).alias("date"), detail.alias("detail"), "start", "matched")
+    return hits.select(key, F.col("rule").alias("kind"), F.try_to_date(detail, "d MMMM yyyy").alias("date"), detail.alias("detail"), "start", "matched")
 
 
 def norms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,7 +47,7 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
     path = [F.col("id").alias("path")] if with_path else []
     # anc: the node's ancestor at distance 2^k, null once the root is known; size: its descendants nearer than 2^k, and itself
     first = base.select("id", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.when(F.col("parent").isNull(), 0).alias("depth").cast("long"), F.lit(1).cast("long").alias("size"), *path)
-    state = Staged(first, "upward")
+    state = Staged(first.drop("parent"), "upward")
     keep = Staged(first.select("id", "parent"), "links")
     unresolved, reach, jumps = -1, 1, []
     while True:
@@ -60,9 +60,9 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
         sums = open_rows.groupBy("anc").agg(F.sum("size").alias("gain"), F.count("*").alias("n_pointing"))
         more = [F.col("path").alias("path2")] if with_path else []
         known = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), *more)
-        step = _follow(open_rows.drop("root", "depth", "parent"), known, sums.select("anc", "n_pointing"), hot_rows)
+        step = _follow(open_rows.drop("root", "depth"), known, sums.select("anc", "n_pointing"), hot_rows)
         step = step.select("id", F.col("anc2").alias("anc"), F.col("root2").alias("root"), (F.col("depth2") + reach).alias("depth"), "size", *([F.concat_ws(sep, "path2", "path").alias("path")] if with_path else []))
-        done = now.filter("anc is null").drop("parent").unionByName(step)
+        done = now.filter("anc is null").unionByName(step)
         after = done.join(sums.select(F.col("anc").alias("id"), "gain"), "id", "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gain")
         jumps.append(Staged(open_rows.select("id", "anc"), "jump"))
         new = Staged(after, "upward")

@@ -82,9 +82,9 @@ def dot(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("  "), q("source"), F.lit(" -> "), q("target"), F.lit(" [label="), q("predicate"), F.lit("];")).alias("line"))
 
 
-def read_json_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of JSON arrays of {subject, predicate, object}."""
-    rows = spark.read.schema("subject string, predicate string, object string").json(path, multiLine=True)
+def read_json_triples(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """(s, p, o) of JSON objects {subject, predicate, object}, one per line, or in one array per file."""
+    rows = spark.read.schema("subject string, predicate string, object string").json(path, multiLine=arrays)
     return rows.selectExpr("subject as s", "predicate as p", "object as o").dropna()
 
 
