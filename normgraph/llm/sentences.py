@@ -44,7 +44,7 @@ _LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85 ]")
 _THAI = regex.compile(r"\p{Thai}")
 _QUOTES = regex.compile(r"[“”„«»‹›‘’\"「」『』()（）\[\]]")
 _WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]+")
-_LIST = regex.compile(r"\s*(?:(?P<bullet>[–•・*▪●◦‣-])|[(（]\p{N}{1,4}[)）]|[(（]\p{L}[)）]|\p{L}\)|\p{N}{1,4}[)）]|\p{N}{1,4}、|\p{N}{1,4}(?:\.\p{N}+)*\.?[\s](?=\S))")
+_LIST = regex.compile(r"\s*(?:(?P<bullet>[–•・*▪●◦‣-])|[(（]\p{N}{1,4}[)）]|[(（]\p{L}[)）]|\p{L}\)|\p{N}{1,4}[)）]|\p{N}{1,4}、|(?P<number>\p{N}{1,4}(?:(?:\.\p{N}+)+|\.)\s(?=\S)))")
 _ENDS = r"(?P<mark>(?:\.(?![\p{Ll}\p{N}])|[。．｡!?！？।॥؟۔…;;])+)"
 _CLOSE = r"(?P<close>(?:[”’\"»›」』)）\]“]|[    ][»›](?!\p{L}))*)"
 _CANDIDATE = regex.compile(_ENDS + _CLOSE + r"(?P<gap>\s*)|(?P<line>[^\S\n\r]*(?:\r\n|[\n\r\x0b\x0c\x85 ])\s*)")
@@ -56,28 +56,29 @@ _UNBALANCED = 6.0
 _HOPELESS = -2.5  # ends scored at most this are no candidates: neither balance nor length outweighs it
 
 
-def _wrap_width(lines: list[str]) -> tuple[int, bool]:
-    """The least width of the wrapped lines of a text, and whether it was wrapped.
+def _wrap_width(lines: list[str]) -> tuple[int, float]:
+    """The least width of the wrapped lines of a text, and how sure it is that it was wrapped: 0, 0.5 or 1.
 
     A wrapped line has at least the width, and would not without its last word;
     the width that most line breaks agree with is taken.
     """
-    low, high = [], []
+    low, high, unended = [], [], True
     for a, b in zip(lines, lines[1:]):
         a = a.strip()
         if a and b and not b.isspace():
             n, last = len(a), len(a.rsplit(None, 1)[-1])
             low.append(n - last if last <= 25 else n + 1)
             high.append(n)
-    if len(low) < 3:
-        return 0, False
+            unended = unended and a[-1] not in ".!?؟।。:;：；"
+    if len(low) < 3:  # too few to count: lines of like and usual length, none with an end mark
+        return min(high, default=0), 0.5 * (bool(low) and unended and max(low) <= min(high) and 40 <= min(high) <= 86)
     best, width = 0, 0
     for w in set(high):
         if 30 <= w <= 130:
             agree = sum(1 for x, y in zip(low, high) if x <= w <= y)
             if agree > best or agree == best and w < width:
                 best, width = agree, w
-    return width, best >= max(3, 0.5 * len(low))
+    return width, float(best >= max(3, 0.5 * len(low)))
 
 
 def _nature(text: str, at: int) -> str:
@@ -92,7 +93,7 @@ def _nature(text: str, at: int) -> str:
     if c.isdigit():
         return "d"
     if c in "“„«‹‘「『\"'(（[¿¡":
-        return "q"
+        return "c" if text.startswith("[…]", at) else "q"
     if c in "—–-−":
         return "-"
     if c in ",;:%&)]}/»”’」』）、，；：%":
@@ -137,6 +138,7 @@ def _after_point(text: str, at: int, gap: str, nxt: int, kind: str, closers: str
     return 4.0
 
 
+_HEADING = regex.compile(r"\p{N}+\.\s+\p{Lu}")
 _GREEK = regex.compile(r"\p{Greek}[^\p{L}]*$")
 _NEXT = regex.compile(r"(\p{L})\.")
 _NEXT_WORD = regex.compile(r"\p{L}+")
@@ -147,7 +149,7 @@ class _Block:
 
     __slots__ = ("text", "lo", "hi", "width", "wrapped")
 
-    def __init__(self, text: str, lo: int, hi: int, width: int, wrapped: bool):
+    def __init__(self, text: str, lo: int, hi: int, width: int, wrapped: float):
         self.text, self.lo, self.hi, self.width, self.wrapped = text, lo, hi, width, wrapped
 
     def _line_break(self, at: int, nxt: int, kind: str) -> tuple[float, bool]:
@@ -156,12 +158,12 @@ class _Block:
         start = max(text.rfind("\n", self.lo, at), text.rfind("\r", self.lo, at)) + 1
         start = max(start, self.lo)
         line = text[start:at].rstrip()
-        wraps = self.wrapped and len(line) >= self.width - 2 and len(line) - len(line.rsplit(None, 1)[-1]) - 3 < self.width
+        wraps = self.wrapped > 0.5 * (kind == "U") and len(line) >= self.width - 2 and len(line) - len(line.rsplit(None, 1)[-1]) - 3 < self.width
         m = _LIST.match(text, nxt, self.hi)
         last = line[-1:] or " "
         if m:
             in_list = last in ":;：；" or _LIST.match(line) is not None
-            if not wraps or m.group("bullet") and m.group("bullet") not in "-*" or in_list:
+            if in_list or not m.group("number") and (not wraps or m.group("bullet") and m.group("bullet") not in "-*"):
                 return 5.0, False
         if last in ":：" and not wraps:
             return 4.0, False
@@ -170,6 +172,8 @@ class _Block:
         if kind in "lc" or last in ",،、，&" or (kind == "-" and last not in ".!?"):
             return -3.0, True
         tail = _WORD_BEFORE.match(line.rstrip("."))
+        if kind == "d" and last not in ".!?؟।。" and not (m and m.group("number") and _HEADING.match(text, nxt)):
+            return -2.4, True  # a number goes on with what was said
         if tail and (line.endswith(".") and tail.group() in LEADING or not line.endswith(".") and tail.group().lower() in UNFINISHED and kind not in "o"):
             return -2.0, True
         return 4.0, False
@@ -332,7 +336,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points, end exclusive; none for a null, empty or blank text."""
     if not text or text.isspace():
         return []
-    width, wrapped = _wrap_width(_LINE.split(text)) if "\n" in text or "\r" in text else (0, False)
+    width, wrapped = _wrap_width(_LINE.split(text)) if "\n" in text or "\r" in text else (0, 0.0)
     out = []
     at = 0
     for m in [*_BLANK_LINE.finditer(text), None]:
