@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normgraph.staging import Staged, hot_split_join
+from normgraph.staging import Staged, buckets_for, hot_split_join
 
-_CHUNKS = 64
+_CHUNK_ROWS = 200_000
 
 
 def _follow(rows: DataFrame, known: DataFrame, counts: DataFrame, hot_rows: int) -> DataFrame:
@@ -71,7 +71,7 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
     tree = state.df.filter("anc is null").join(keep.df, "id")
 
     # downward: a node's offset from its parent is one and the sizes of the siblings before it
-    sib = tree.select("id", "parent", "size", F.pmod(F.xxhash64("id"), F.lit(_CHUNKS)).alias("chunk"))
+    sib = tree.select("id", "parent", "size", F.pmod(F.xxhash64("id"), F.lit(buckets_for(total, _CHUNK_ROWS, 64))).alias("chunk"))
     before = F.sum("size").over(Window.partitionBy("parent", "chunk").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     inner = sib.select("id", "parent", "chunk", F.coalesce(before, F.lit(0)).alias("within"))
     heads = sib.groupBy("parent", "chunk").agg(F.sum("size").alias("chunk_size"))
