@@ -138,6 +138,7 @@ def _after_point(text: str, at: int, gap: str, nxt: int, kind: str, closers: str
     return 4.0
 
 
+_DANGLING = regex.compile(r"[\p{L}\p{M}\p{N}%)\]]{2,}[.!?»”“\"]+\s+(?:\p{Lu}[\p{L}-]{0,5}|\p{L}\.)$")  # a short word alone after an end, at the end of a line
 _HEADING = regex.compile(r"\p{N}+\.\s+\p{Lu}")
 _GREEK = regex.compile(r"\p{Greek}[^\p{L}]*$")
 _NEXT = regex.compile(r"(\p{L})\.")
@@ -161,6 +162,9 @@ class _Block:
         wraps = self.wrapped > 0.5 * (kind == "U") and len(line) >= self.width - 2 and len(line) - len(line.rsplit(None, 1)[-1]) - 3 < self.width
         m = _LIST.match(text, nxt, self.hi)
         last = line[-1:] or " "
+        tail = _WORD_BEFORE.match(line.rstrip("."))
+        if tail and last == "." and tail.group() in LEADING or _DANGLING.search(line, max(0, len(line) - 16)):
+            return -3.0, True
         if m:
             in_list = last in ":;：；" or _LIST.match(line) is not None
             if in_list or not m.group("number") and (not wraps or m.group("bullet") and m.group("bullet") not in "-*"):
@@ -171,10 +175,9 @@ class _Block:
             return -4.0, True
         if kind in "lc" or last in ",،、，&" or (kind == "-" and last not in ".!?"):
             return -3.0, True
-        tail = _WORD_BEFORE.match(line.rstrip("."))
         if kind == "d" and last not in ".!?؟।。" and not (m and m.group("number") and _HEADING.match(text, nxt)):
             return -2.4, True  # a number goes on with what was said
-        if tail and (line.endswith(".") and tail.group() in LEADING or not line.endswith(".") and tail.group().lower() in UNFINISHED and kind not in "o"):
+        if tail and last != "." and tail.group().lower() in UNFINISHED and kind not in "o":
             return -2.0, True
         return 4.0, False
 
