@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.operators import citations as cit
+from normgraph.operators import deliberation as de
 from normgraph.operators import extraction as ex
 from normgraph.operators import minutes as mi
 from normgraph.operators import resolution as res
@@ -83,12 +84,43 @@ def l_downloads(spark, d):
     return con.download_report(_t(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("doc_type", F.lit("none")).alias("status"), F.col("n_chars").alias("size")))
 
 
-QUERIES = {f.__name__: f for f in (r_resolution, r_report, r_keywords, c_citations, m_heads, m_parts, m_swimlanes, m_rule_differences, x_eli, l_domains, l_downloads)}
+def t_deferrals(spark, d):
+    return de.deferrals(de.agenda(_t(spark, d, "meetings")), 1)
+
+
+def t_inactive(spark, d):
+    return de.inactive(de.agenda(_t(spark, d, "meetings")))
+
+
+def t_differences(spark, d):
+    return de.meeting_differences(de.agenda(_t(spark, d, "meetings"))).groupBy("series", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def t_chains(spark, d):
+    """Decisions on each meeting in order, with the state they lead to."""
+    x = _t(spark, d, "decisions").select(F.lower(F.trim("meeting_uri")).alias("subject"), F.col("decided_at").alias("at"), F.col("decision_type").alias("kind")).filter("subject like 'urn:%'")
+    return de.chain_statistics(de.event_chains(x, {"adoption": "adopted", "rejection": "rejected", "amendment": "amended"}))
+
+
+def t_participation(spark, d):
+    e = _t(spark, d, "swimlanes").dropDuplicates(["lane_id"]).select(F.explode("lane_events").alias("e")).select("e.*").dropDuplicates(["event_uri"])
+    return de.participation(e)
+
+
+QUERIES = {f.__name__: f for f in (t_deferrals, t_inactive, t_differences, t_chains, t_participation, r_resolution, r_report, r_keywords, c_citations, m_heads, m_parts, m_swimlanes, m_rule_differences, x_eli, l_domains, l_downloads)}
 
 _N = "with n as (select distinct subject s, coalesce(a.predicate, t.predicate) p, object o from triples t left join attributes a on t.predicate = a.full_uri where subject <> '' and t.predicate <> '' and object <> '') "
 _MAP = lambda d, c: "case " + " ".join(f"when {c} = '{k}' then '{v}'" for k, v in d.items()) + " end"
 
+_AGENDA = "with v as (select * from (select lower(trim(uri)) u, *, row_number() over (partition by lower(trim(uri)) order by recorded_at desc) r from meetings where uri is not null) where r = 1 and not coalesce(is_deleted, false)), m as (select *, row_number() over (partition by series order by meeting_date nulls first, u) place from v), i as (select series, u, place, unnest(agenda_items, recursive := true) from m), a as (select series, place, lower(trim(title)) topic, outcome from i where trim(title) <> '') "
+_EVENTS = "with e as (select distinct on (event_uri) * from (select unnest(lane_events, recursive := true) from (select distinct on (lane_id) * from swimlanes)))"
+
 SQL = {
+    "t_deferrals": _AGENDA + "select series, topic, count(*) as n, cast(min(place) as int) as first_place, cast(max(place) as int) as last_place from a where outcome = 'deferred' group by 1, 2",
+    "t_inactive": _AGENDA + ", t as (select series, topic, max(place) last_place, arg_max(outcome, row(place, outcome)) outcome from a group by 1, 2), e as (select series, max(place) z from a group by 1) select t.series, topic, cast(last_place as int) as last_place, cast(z - last_place as int) as since from t join e on t.series is not distinct from e.series where t.series is not null and z - last_place >= 3 and coalesce(outcome not in ('decided', 'withdrawn'), true)",
+    "t_differences": _AGENDA + ", x as (select series, place, topic, max(outcome) o from a where series is not null group by 1, 2, 3), z as (select series, max(place) z from x group by 1), b as (select x.series, place + 1 place, topic, o from x join z using (series) where place < z), f as (select series, b.topic bt, x.topic xt, b.o bo, x.o xo from b full join (select * from x where place > 1) x using (series, place, topic)) select series, case when bt is null then 'added' when xt is null then 'removed' else 'modified' end as change, count(*) as n from f where bt is null or xt is null or bo is distinct from xo group by 1, 2",
+    "t_chains": "with e as (select distinct lower(trim(meeting_uri)) subject, decided_at t, decision_type kind from decisions where starts_with(lower(trim(meeting_uri)), 'urn:') and decided_at is not null and decision_type is not null), s as (select *, case kind when 'adoption' then 'adopted' when 'rejection' then 'rejected' when 'amendment' then 'amended' end st, row_number() over (partition by subject order by t, kind) n from e) select subject, count(*) as n_steps, arg_min(kind, n) as first_kind, arg_max(kind, n) as last_kind, arg_max(st, n) filter (where st is not null) as state, cast(max(t)::date - min(t)::date as int) as days from s group by 1",
+    "t_participation": _EVENTS + ", x as (select unnest(list_distinct(actors)) actor, year(ts) period, event_type from e) select actor, cast(period as int) as period, count(*) as n_events, count(distinct event_type) as n_kinds from x where trim(actor) <> '' group by 1, 2",
     "r_keywords": "with w as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) l from documents where text is not null), h as (select doc_id, unnest([{'w': 'levy', 'x': 2.0}, {'w': 'permit', 'x': 1.0}, {'w': 'safeguard', 'x': 3.0}], recursive := true), l from w) select doc_id, count(*) as n_keywords, cast(sum(x) as double) as score from h where list_contains(l, w) group by 1",
     "c_citations": "select o_orderkey as doc_id, 'eu' as jurisdiction, 'regulation' as type, 'urn:eu:regulation:2016/' || o_custkey as urn, 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32016R' || lpad(cast(o_custkey as varchar), 4, '0') as address, 1.0::double as confidence from orders union all select o_orderkey, 'us', 'usc', 'urn:us:usc:' || (o_orderkey % 50 + 1) || '/' || o_orderkey, 'https://uscode.house.gov/view.xhtml?req=granuleid:USC-prelim-title' || (o_orderkey % 50 + 1) || '-section' || o_orderkey, 1.0::double from orders",
     "m_heads": r"with l as (select doc_id, unnest(range(len(x))) n, unnest(x) as line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') x from documents where text is not null)), h as (select doc_id, n, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 1) field, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 2) value from l) select doc_id, field, arg_min(value, n) as value from h where field in ('Date', 'Time', 'Location', 'Chair', 'Secretary', 'Present', 'Apologies', 'Absent') group by 1, 2",

@@ -133,3 +133,19 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "d" / "law.txt").write_text("LAW\nArticle 1\nScope\nThe operator shall act.\n")
     assert main(["ingest", str(tmp_path / "d"), str(tmp_path / "lib")]) == 0
     assert main(["query", str(tmp_path / "lib" / "triples"), "articles", "--form", "csv"]) == 0 and "law:Art1" in capsys.readouterr().out
+
+
+def test_deliberation(spark):
+    from normgraph.operators import deliberation as de
+
+    t = "series string, meeting string, place int, topic string, outcome string"
+    items = spark.createDataFrame([("s", "m1", 1, "a", "deferred"), ("s", "m1", 1, "b", "pending"), ("s", "m2", 2, "a", "deferred"), ("s", "m3", 3, "a", "decided"), ("s", "m4", 4, "c", None), ("s", "m5", 5, "c", "pending")], t)
+    assert rows(de.deferrals(items)) == [("s", "a", 2, 1, 2)]
+    assert rows(de.inactive(items, 3)) == [("s", "b", 1, 4)]
+    assert rows(de.meeting_differences(items), "place", "topic", "change") == [(2, "b", "removed"), (3, "a", "modified"), (4, "a", "removed"), (4, "c", "added"), (5, "c", "modified")]
+    e = spark.createDataFrame([("x", datetime(2020, 1, 1), "proposal"), ("x", datetime(2020, 1, 1), "proposal"), ("x", datetime(2020, 1, 3), "comment"), ("x", datetime(2020, 1, 9), "adoption"), (None, None, "vote")], "subject string, at timestamp_ntz, kind string")
+    c = de.event_chains(e, {"proposal": "proposed", "adoption": "adopted"})
+    assert rows(c, "step", "kind", "state") == [(1, "proposal", "proposed"), (2, "comment", "proposed"), (3, "adoption", "adopted")]
+    assert rows(de.chain_statistics(c)) == [("x", 3, "proposal", "adoption", "adopted", 8)]
+    m = spark.createDataFrame([(" U1", False, datetime(2020, 1, 1), "s", datetime(2020, 1, 1), [("T", "x")]), ("u1", False, datetime(2020, 1, 2), "s", datetime(2020, 1, 1), [("T", "y")]), ("u2", True, datetime(2020, 1, 2), "s", datetime(2020, 1, 1), None), (None, None, None, None, None, None)], "uri string, is_deleted boolean, recorded_at timestamp_ntz, series string, meeting_date timestamp_ntz, agenda_items array<struct<title string, outcome string>>")
+    assert rows(de.agenda(m)) == [("s", "u1", 1, "t", "y")]
