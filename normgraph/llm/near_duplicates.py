@@ -106,7 +106,7 @@ def _bands(idf, rows: int, bands: int):
                 starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
                 weights = np.asarray(part["tf"].flatten()) * idf.value[_counter(keys)]
                 samples = consistent_samples(keys.view(np.uint64), weights, starts, rows * bands)
-                yield pa.RecordBatch.from_arrays([part["sig"].take(pa.array(np.repeat(np.arange(part.num_rows), bands))), pa.array(band_keys(samples, rows).reshape(-1))], names=["sig", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part["cid"]), bands)), pa.array(band_keys(samples, rows).reshape(-1))], names=["cid", "band"])
 
     return run
 
@@ -143,7 +143,7 @@ def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int
     """(members, links) of records whose run sets are at least ``least`` alike.
 
     members: (id, sig), each record with its class of equal sets; links: (sig_a,
-    sig_b, alike), sig_a < sig_b, between classes. A record's set is of all runs
+    sig_b, alike), each pair of classes once. A record's set is of all runs
     of ``n`` words within each of the text ``fields``. The number of bands comes
     from the collision curve: pairs of weighted similarity ``at`` meet with
     probability ``recall``. Null and empty texts have no runs; records with
@@ -155,14 +155,15 @@ def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int
     rows_in = records.select(F.col(key).cast("long").alias("id"), *fields).filter("id is not null")
     each = stage(rows_in.mapInArrow(_shingles(list(fields), n, least_runs), "id long, sig binary, runs array<long>, tf array<int>"), "runs")
     members = each.select("id", "sig").distinct()
-    sets = stage(each.groupBy("sig").agg(F.min("tf").alias("tf"), F.min("runs").alias("runs")), "classes")
+    # within the operator a class goes by a number, half as long as its signature and better to compress
+    sets = stage(each.groupBy("sig").agg(F.min("tf").alias("tf"), F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     idf = spark.sparkContext.broadcast(inverse_frequencies(sets))
     bands = bands_for(at, rows, recall)
-    sketch = stage(sets.mapInArrow(_bands(idf, rows, bands), "sig binary, band long"), "bands")
-    a, b = sketch.select("band", F.col("sig").alias("sig_a")), sketch.select("band", F.col("sig").alias("sig_b"))
-    pairs = a.join(b, "band").filter("sig_a < sig_b").select("sig_a", "sig_b").distinct()
-    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("sig", "runs", "tf")])
-    links = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b").mapInArrow(_weighted(idf, least_weighted, least), "sig_a binary, sig_b binary, alike double")
+    sketch = stage(sets.select("cid", "tf", "runs").mapInArrow(_bands(idf, rows, bands), "cid long, band long"), "bands")
+    a, b = sketch.select("band", F.col("cid").alias("cid_a")), sketch.select("band", F.col("cid").alias("cid_b"))
+    pairs = a.join(b, "band").filter("cid_a < cid_b").select("cid_a", "cid_b").distinct()
+    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs", "tf")])
+    links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_weighted(idf, least_weighted, least), "sig_a binary, sig_b binary, alike double")
     return members, stage(links, "links")
 
 
