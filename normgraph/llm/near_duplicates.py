@@ -24,25 +24,22 @@ _COUNTERS = 20  # the document-frequency sketch has 2^20 counters: 4 MB, whateve
 _ROUND = 512
 
 
-def _lists(arrays: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
-
-
 def _shingles(fields: Sequence[str], n: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHasher()
         for batch in batches:
-            ids, sigs, sets, tfs = [], [], [], []
-            for i, *texts in zip(batch["id"].to_pylist(), *(batch[f].to_pylist() for f in fields)):
-                s, c = counted(runs(hashes(t), n) for t in texts)
-                if len(s) >= least:
-                    ids.append(i)
-                    sigs.append(xxhash.xxh128_digest(s.tobytes()))
-                    sets.append(s.view(np.int64))
-                    tfs.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), _lists(sets, pa.int64()), _lists(tfs, pa.int32())], names=["id", "sig", "runs", "tf"])
+            for lo in range(0, batch.num_rows, 2 * _ROUND):
+                part = batch.slice(lo, 2 * _ROUND)
+                texts = [t for row in zip(*(part[f].to_pylist() for f in fields)) for t in row]
+                found, text = runs(*hashes(texts), n)
+                keys, tf, ends = counted(found, text // len(fields), part.num_rows)
+                size = np.diff(ends)
+                rows = np.flatnonzero(size >= least)
+                keep = np.repeat(size >= least, size)
+                offsets = pa.array(np.append(0, np.cumsum(size[rows])).astype(np.int32))
+                sigs = [xxhash.xxh128_digest(keys[ends[r] : ends[r + 1]].tobytes()) for r in rows.tolist()]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (keys.view(np.int64), tf.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), pa.array(sigs, pa.binary()), *lists], names=["id", "sig", "runs", "tf"])
 
     return run
 
@@ -75,20 +72,17 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray
     Two segments share a sample with the probability of their weighted Jaccard similarity.
     """
     out = np.empty((len(starts), hashes), dtype=np.uint64)
-    log_w = np.log(weights)
+    log_w = np.log(weights).astype(np.float32)
     lens = np.diff(np.append(starts, len(keys)))
-    unit = 2.0**-32
+    # five uniform numbers for each key and hash: a well-mixed key times an odd number per hash, its upper 24 bits
+    base = [mix64(keys + np.uint64(j)) for j in range(1, 6)]
+    odd = mix64(np.arange(1, 5 * hashes + 1, dtype=np.uint64)).reshape(hashes, 5) | np.uint64(1)
+    unit, shift = np.float32(2.0**-24), np.uint64(40)
     for k in range(hashes):
-        a = mix64(keys ^ mix64(np.array([3 * k + 1], dtype=np.uint64)))
-        b = mix64(keys ^ mix64(np.array([3 * k + 2], dtype=np.uint64)))
-        c = mix64(a + b)
-        half = lambda x: ((x >> np.uint64(32)).astype(np.float64) + 0.5) * unit
-        low = lambda x: ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * unit
-        r = -np.log(half(a) * low(a))  # Gamma(2, 1)
-        ln_c = np.log(-np.log(half(b) * low(b)))
-        beta = half(c)
-        t = np.floor(log_w / r + beta)
-        value = ln_c - r * (t - beta + 1)
+        u = [((base[j] * odd[k, j]) >> shift).astype(np.float32) * unit + unit / 2 for j in range(5)]
+        r = -np.log(u[0] * u[1])  # Gamma(2, 1)
+        t = np.floor(log_w / r + u[4])
+        value = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
         least = np.repeat(np.minimum.reduceat(value, starts), lens)
         at = np.flatnonzero(value == least)
         at = at[np.searchsorted(at, starts)]

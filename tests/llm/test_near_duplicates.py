@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from normgraph.llm import near_duplicates as nd
-from normgraph.llm.words import WORD, runs
+from normgraph.llm.words import WORD, WordHasher, counted, runs
 from tests.conftest import rows
 
 
@@ -91,4 +91,12 @@ def test_samples_estimate_weighted_similarity():
     want = np.minimum(w, v).sum() / np.maximum(w, v).sum()
     s = nd.consistent_samples(np.concatenate([keys, keys]), np.concatenate([w, v]), np.array([0, 60]), 3000)
     assert abs((s[0] == s[1]).mean() - want) < 0.04
-    assert len(runs(keys[:2], 3)) == 0
+
+
+def test_runs_stay_within_texts():
+    words, counts = WordHasher()(["a b c d", None, "a b", "", "b c d a b c"])
+    assert counts.tolist() == [4, 0, 2, 0, 6]
+    found, text = runs(words, counts, 3)
+    assert text.tolist() == [0, 0, 4, 4, 4, 4] and found[1] == found[2] and found[0] == found[5] and len(set(found.tolist())) == 4
+    keys, n, ends = counted(np.append(found, found[:1]), np.append(text, 0), 5)
+    assert ends.tolist() == [0, 2, 2, 2, 2, 6] and sorted(n.tolist()) == [1, 1, 1, 1, 1, 2]
