@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from normgraph.llm.hashing import mix64
 from normgraph.llm.words import WORD
-from normgraph.staging import stage
+from normgraph.staging import Staged, stage
 
 _BLOCK = 4096
 _MOST_WORDS = 5_000_000  # of the evaluation set; beyond it, split the set
@@ -247,8 +247,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
         run_owner.append(np.full(len(h), n))
     keys, run_owner = np.concatenate(keys), np.concatenate(run_owner)
     order = np.argsort(keys, kind="stable")
-    passages = stage(spark.createDataFrame([(p.tolist(),) for p in parts], "ids array<int>"), "passages")
-    v = randomised_svd(passages, idf, k)
+    passages = Staged(spark.createDataFrame([(p.tolist(),) for p in parts], "ids array<int>"), "passages")
+    v = randomised_svd(passages.df, idf, k)
+    passages.drop()
     energy = np.append(idf**2, 0.0)
     least = min(np.convolve(energy[np.array([vocabulary[w] for w in t]) % dims], np.ones(run), "valid").min() for t in texts if len(t) >= run)
     vectors = np.vstack([idf[:, None] * v, np.zeros(v.shape[1])]).astype(np.float32)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from normgraph.llm.hashing import band_keys, bands_for, mix64
 from normgraph.llm.words import WordHasher, counted, runs
-from normgraph.staging import stage
+from normgraph.staging import Staged, stage
 
 _COUNTERS = 20  # the document-frequency sketch has 2^20 counters: 4 MB, whatever the input
 _ROUND = 512
@@ -150,15 +150,19 @@ def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int
     each = stage(rows_in.mapInArrow(_shingles(list(fields), n, least_runs), "id long, sig binary, runs array<long>, tf array<int>"), "runs")
     members = each.select("id", "sig").distinct()
     # within the operator a class goes by a number, half as long as its signature and better to compress
-    sets = stage(each.groupBy("sig").agg(F.min("tf").alias("tf"), F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = Staged(each.groupBy("sig").agg(F.min("tf").alias("tf"), F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sets = classes.df
     idf = spark.sparkContext.broadcast(inverse_frequencies(sets))
     bands = bands_for(at, rows, recall)
-    sketch = stage(sets.select("cid", "tf", "runs").mapInArrow(_bands(idf, rows, bands), "cid long, band long"), "bands")
-    a, b = sketch.select("band", F.col("cid").alias("cid_a")), sketch.select("band", F.col("cid").alias("cid_b"))
+    sketch = Staged(sets.select("cid", "tf", "runs").mapInArrow(_bands(idf, rows, bands), "cid long, band long"), "bands")
+    a, b = sketch.df.select("band", F.col("cid").alias("cid_a")), sketch.df.select("band", F.col("cid").alias("cid_b"))
     pairs = a.join(b, "band").filter("cid_a < cid_b").select("cid_a", "cid_b").distinct()
     side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs", "tf")])
     links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_weighted(idf, least_weighted, least), "sig_a binary, sig_b binary, alike double")
-    return members, stage(links, "links")
+    links = stage(links, "links")
+    sketch.drop()
+    classes.drop()
+    return members, links
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
