@@ -120,7 +120,7 @@ def _after_point(text: str, at: int, gap: str, nxt: int, kind: str, closers: str
         word = _NEXT.match(text, nxt)
         if word and len(word.group(1)) == 1:  # another initial: z. B.
             return -4.0
-        if tok.isupper():
+        if tok.isupper() or kind == "o" and not tok.islower():
             return -3.0
         return 2.5 if kind in "Uoqs" else -4.0
     if tok.isdigit():
