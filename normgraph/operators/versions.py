@@ -17,7 +17,7 @@ def version_history(changes: DataFrame, subject: str, at: str, tie: str) -> Data
     """Versions from a log of changes: numbered in order of ``at`` (ties by ``tie``), each valid until the next."""
     w = Window.partitionBy(subject).orderBy(at, tie)
     until = F.lead(at).over(w)
-    return changes.select(F.col(subject).alias("subject"), F.row_number().over(w).alias("version"), F.col(at).alias("valid_from"), until.alias("valid_until"), F.when(until.isNull(), "active").otherwise("superseded").alias("status"))
+    return changes.select(F.col(subject).alias("subject"), F.row_number().over(w).cast("bigint").alias("version"), F.col(at).alias("valid_from"), until.alias("valid_until"), F.when(until.isNull(), "active").otherwise("superseded").alias("status"))
 
 
 def _holds(at: Column) -> Column:

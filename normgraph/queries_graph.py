@@ -149,7 +149,7 @@ def _votes(spark, d):
     """Events as votes: the hour is the vote, its number in the day the topic, the user the voter."""
     e = _t(spark, d, "events")
     position = F.element_at(F.array(*map(F.lit, ("for", "for", "against", "abstain", "absent"))), (F.pmod(F.col("event_id") + F.col("user_id"), F.lit(5)) + 1).cast("int"))
-    return e.select(F.date_format("ts", "yyyy-MM-dd HH").alias("vote"), F.hour("ts").alias("topic"), F.col("user_id").alias("voter"), position.alias("position"))
+    return e.select(F.date_format("ts", "yyyy-MM-dd HH").alias("vote"), F.hour("ts").cast("bigint").alias("topic"), F.col("user_id").alias("voter"), position.alias("position"))
 
 
 def _history(spark, d):
