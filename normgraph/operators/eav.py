@@ -37,10 +37,10 @@ def _fraction(s):
 def canonical(value, value_type):
     """Comparable text of a trimmed value, null where it does not convert to its type."""
     low = F.lower(value)
-    day = F.when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[\s\S]*)?$") & ~value.startswith("0000"), F.substring(value, 1, 10))
+    day = F.when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[\s\S]*)?\z") & ~value.startswith("0000"), F.substring(value, 1, 10))
     return (
-        F.when(value_type == "int", F.when(value.rlike(r"^[+-]?[0-9]+$"), _digits(value)))
-        .when(value_type == "decimal", F.when(value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), _fraction(value)))
+        F.when(value_type == "int", F.when(value.rlike(r"^[+-]?[0-9]+\z"), _digits(value)))
+        .when(value_type == "decimal", F.when(value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z"), _fraction(value)))
         .when(value_type == "date", F.when(day.try_cast("date").isNotNull(), day))
         .when(value_type == "boolean", F.when(low.isin("true", "yes", "1"), "true").when(low.isin("false", "no", "0"), "false"))
         .otherwise(value)

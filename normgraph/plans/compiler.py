@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from normgraph.plans.sparql import Aggregate, Call, Const, Group, Pattern, Query, SparqlError, Var, parse
 
 #: A number as the aggregates and comparisons read it.
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"
 
 
 def number(c: Column) -> Column:

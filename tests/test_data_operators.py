@@ -108,9 +108,9 @@ def test_wide_values(spark):
     got = {r["subject"]: r for r in wide(spark, [
         ("x", "a:n", " +007\t"), ("x", "http://a/n", "7"), ("x", "a:d", "1.50"), ("x", "a:d", "+1.5"), ("x", "a:t", "2020-02-29"), ("x", "a:t", "2020-02-29T10:00"), ("x", "a:b", "YES"), ("x", "a:b", "1"), ("x", "a:s", "ä"), ("x", "a:m", "1"), ("x", "a:m", "2"), ("x", "a-n", "other"),
         ("y", "a:n", "7"), ("y", "a:n", "8"), ("y", "a:d", "1e3"), ("y", "a:t", "2021-02-29"), ("y", "a:b", "maybe"), ("y", "a:s", "a"), ("y", "a:s", "b"),
-        ("z", "a:n", None), ("z", "a:d", "  "), ("z", "x:other", "1"), ("big", "a:n", "9" * 30), ("big", "a:d", "-0.0"), (None, "a:n", "1"), ("w", None, "1"), ("z", "a:t", "0000-01-01"),
+        ("z", "a:n", None), ("z", "a:d", "  "), ("z", "x:other", "1"), ("big", "a:n", "9" * 30), ("big", "a:d", "-0.0"), (None, "a:n", "1"), ("w", None, "1"), ("z", "a:t", "0000-01-01"), ("nl", "a:n", "5\n"), ("nl", "a:t", "2020-01-01\n"),
     ]).collect()}
-    assert set(got) == {"x", "y", "z", "big"}
+    assert set(got) == {"x", "y", "z", "big", "nl"} and sorted(got["nl"]["invalid"]) == ["a:n", "a:t"]
     assert (got["x"]["a_n_2"], float(got["x"]["a_d"]), got["x"]["a_t"], got["x"]["a_b"], got["x"]["a_s"], got["x"]["a_n"]) == (7, 1.5, date(2020, 2, 29), True, "ä", "other")
     assert got["x"]["invalid"] == [] and sorted(got["y"]["invalid"]) == ["a:b", "a:d", "a:n", "a:s", "a:t"]
     assert all(got["y"][c] is None for c in ("a_n", "a_d", "a_t", "a_b", "a_s", "a_n_2"))
