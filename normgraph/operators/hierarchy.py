@@ -16,9 +16,17 @@ from normgraph.staging import Staged, buckets_for, hot_split_join
 _CHUNK_ROWS = 200_000
 
 
-def _follow(rows: DataFrame, known: DataFrame, counts: DataFrame, hot_rows: int) -> DataFrame:
-    """Join ``rows.anc`` to ``known.anc``; ``counts`` says how many rows point at each."""
-    return hot_split_join(rows, known.join(counts, "anc"), ["anc"], "n_pointing", hot_rows)
+class _Pointing:
+    """How many of the rows (.., anc) point at each anc, and sums over them, as a written table."""
+
+    def __init__(self, rows: DataFrame, hot_rows: int, *sums):
+        self.table = Staged(rows.groupBy("anc").agg(F.count("*").alias("n_pointing"), *sums), "pointing")
+        self.hot_rows = hot_rows
+        self.n_hot = self.table.df.filter(F.col("n_pointing") > hot_rows).count()
+
+    def follow(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Join ``rows.anc`` to ``known.anc``."""
+        return hot_split_join(rows, known.join(self.table.df.select("anc", "n_pointing"), "anc"), ["anc"], "n_pointing", self.hot_rows, n_hot=self.n_hot)
 
 
 def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> DataFrame:
@@ -41,8 +49,7 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
     hot_rows = max(1000, total // 1000)
     ids = nodes.select(F.col("id").alias("anc"), F.lit(True).alias("there"))
     linked = nodes.select("id", F.col("parent").alias("anc")).filter("anc is not null")
-    pointing = linked.groupBy("anc").agg(F.count("*").alias("n_pointing"))
-    parents = _follow(linked, ids, pointing, hot_rows).select("id", F.col("anc").alias("parent"))
+    parents = _Pointing(linked, hot_rows).follow(linked, ids).select("id", F.col("anc").alias("parent"))
     base = nodes.select("id").join(parents, "id", "left")
     path = [F.col("id").alias("path")] if with_path else []
     # anc: the node's ancestor at distance 2^k, null once the root is known; size: its descendants nearer than 2^k, and itself
@@ -57,17 +64,15 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
         if left in (0, unresolved):  # none is between this reach and the one before: what is left hangs on a loop
             break
         unresolved = left
-        sums = open_rows.groupBy("anc").agg(F.sum("size").alias("gain"), F.count("*").alias("n_pointing"))
+        pointing = _Pointing(open_rows, hot_rows, F.sum("size").alias("gain"))
         more = [F.col("path").alias("path2")] if with_path else []
         known = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), *more)
-        step = _follow(open_rows.drop("root", "depth"), known, sums.select("anc", "n_pointing"), hot_rows)
+        step = pointing.follow(open_rows.drop("root", "depth"), known)
         step = step.select("id", F.col("anc2").alias("anc"), F.col("root2").alias("root"), (F.col("depth2") + reach).alias("depth"), "size", *([F.concat_ws(sep, "path2", "path").alias("path")] if with_path else []))
         done = now.filter("anc is null").unionByName(step)
-        after = done.join(sums.select(F.col("anc").alias("id"), "gain"), "id", "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gain")
-        jumps.append(Staged(open_rows.select("id", "anc"), "jump"))
-        new = Staged(after, "upward")
-        state.drop()
-        state, reach = new, reach * 2
+        after = done.join(pointing.table.df.select(F.col("anc").alias("id"), "gain"), "id", "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gain")
+        jumps.append((state, pointing))
+        state, reach = Staged(after, "upward"), reach * 2
     tree = state.df.filter("anc is null").join(keep.df, "id")
 
     # downward: a node's offset from its parent is one and the sizes of the siblings before it
@@ -81,13 +86,13 @@ def nested_sets(nodes: DataFrame, with_path: bool = False, sep: str = "/") -> Da
     a, b = inner.withColumns({"p": none[0], "r": none[1]}), heads.withColumns({"p": none[0], "r": none[1]}).drop("parent")
     offsets = a.join(b, ["p", "r", "chunk"]).select("id", (F.col("within") + F.col("ahead") + F.when(F.col("r"), 0).otherwise(1)).alias("pre"))
     down = Staged(offsets, "downward")
-    for jump in jumps:
+    for at, pointing in jumps:
         now = down.df
-        counts = jump.df.groupBy("anc").agg(F.count("*").alias("n_pointing"))
-        gain = _follow(jump.df, now.select(F.col("id").alias("anc"), F.col("pre").alias("gain")), counts, hot_rows).select("id", "gain")
+        jump = at.df.filter("anc is not null").select("id", "anc")
+        gain = pointing.follow(jump, now.select(F.col("id").alias("anc"), F.col("pre").alias("gain"))).select("id", "gain")
         new = Staged(now.join(gain, "id", "left").select("id", (F.col("pre") + F.coalesce("gain", F.lit(0))).alias("pre")), "downward")
-        down.drop()
-        jump.drop()
+        for used in (down, at, pointing.table):
+            used.drop()
         down = new
     ranges = down.df.select("id", "pre")
     out = state.df.withColumn("looped", F.col("anc").isNotNull()).drop("anc").join(keep.df, "id").join(ranges, "id", "left")

@@ -69,18 +69,19 @@ def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def hot_split_join(big: DataFrame, small: DataFrame, on: Sequence[str], weight: str, hot_rows: int, small_limit: int = 20_000) -> DataFrame:
+def hot_split_join(big: DataFrame, small: DataFrame, on: Sequence[str], weight: str, hot_rows: int, small_limit: int = 20_000, n_hot: int | None = None) -> DataFrame:
     """Inner join of a skewed ``big`` with ``small``, which is unique on ``on``.
 
     ``small[weight]`` holds how many rows of ``big`` have the key. Keys over
     ``hot_rows`` are broadcast: their number is at most rows(big) / hot_rows,
     which the caller bounds by its choice of ``hot_rows`` and ``small_limit``
     enforces. All other keys go through a shuffle join in which no key exceeds
-    ``hot_rows`` rows. Keys must not be null.
+    ``hot_rows`` rows. Keys must not be null. ``n_hot`` is the number of keys
+    over ``hot_rows`` where the caller knows it.
     """
     on = list(on)
     hot = small.filter(F.col(weight) > hot_rows)
-    n_hot = hot.count()
+    n_hot = hot.count() if n_hot is None else n_hot
     if n_hot == 0:
         return big.join(small, on)
     if n_hot > small_limit:
