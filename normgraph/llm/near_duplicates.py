@@ -1,9 +1,9 @@
 """Near-duplicate records with small edits.
 
-Records become sets of hashed word runs. Improved consistent weighted sampling
-over their TF-IDF weights, banded, proposes pairs; weighted Jaccard similarity
-over the same weights verifies them, and an exact check against the plain
-Jaccard threshold follows. Records with the same set are one class throughout.
+Records become sets of hashed word runs. An inverted index of each set's rarest
+runs, as many as the plain Jaccard threshold asks for (a prefix filter), proposes
+every pair that can reach the threshold, and an exact check of the plain
+similarity follows. Records with the same set are one class throughout.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.hashing import band_keys, bands_for, mix64
+from normgraph.llm.hashing import mix64
 from normgraph.llm.words import WordHasher, counted, runs
 from normgraph.staging import Staged, stage
 
@@ -32,14 +32,14 @@ def _shingles(fields: Sequence[str], n: int, least: int):
                 part = batch.slice(lo, 2 * _ROUND)
                 texts = [t for row in zip(*(part[f].to_pylist() for f in fields)) for t in row]
                 found, text = runs(*hashes(texts), n)
-                keys, tf, ends = counted(found, text // len(fields), part.num_rows)
+                keys, _, ends = counted(found, text // len(fields), part.num_rows)
                 size = np.diff(ends)
                 rows = np.flatnonzero(size >= least)
                 keep = np.repeat(size >= least, size)
                 offsets = pa.array(np.append(0, np.cumsum(size[rows])).astype(np.int32))
                 sigs = [xxhash.xxh128_digest(keys[ends[r] : ends[r + 1]].tobytes()) for r in rows.tolist()]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (keys.view(np.int64), tf.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), pa.array(sigs, pa.binary()), *lists], names=["id", "sig", "runs", "tf"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)[keep]))
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), pa.array(sigs, pa.binary()), lists], names=["id", "sig", "runs"])
 
     return run
 
@@ -58,18 +58,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"counter": part, "n": total[part]})
 
 
-def inverse_frequencies(sets: DataFrame) -> np.ndarray:
-    """log(1 + N / df) per counter of a sketch over all rows of ``sets``; runs that share a counter share their df."""
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """Rows of ``sets`` per counter of a sketch; runs that share a counter share their count."""
     df = np.zeros(1 << _COUNTERS, dtype=np.int64)
     counts = sets.select("runs").mapInArrow(_frequencies, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     df[counts["counter"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    return np.log1p(sets.count() / np.maximum(df, 1)).astype(np.float32)
+    return df
 
 
 def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
     """Improved consistent weighted samples of segments of weighted keys: (segments, hashes) 64-bit samples.
 
-    Two segments share a sample with the probability of their weighted Jaccard similarity.
+    Two segments share a sample with the probability of their weighted Jaccard similarity. For
+    estimates only: near_duplicates does not sample, as no sample bounds the plain similarity.
     """
     out = np.empty((len(starts), hashes), dtype=np.uint64)
     log_w = np.log(weights).astype(np.float32)
@@ -90,77 +91,84 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray
     return out
 
 
-def _bands(idf, rows: int, bands: int):
+def _prefixes(df, least: float):
+    """The rarest runs of each set, with their place in it from the rarest on, and its size.
+
+    Two sets of at least ``least`` share ``least`` of either's runs or more, so whatever the order of the
+    runs, as long as it is one for all, the first run they share is among the first
+    size - least * size + 1 of either. Rare first keeps runs of templates out where others are enough.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROUND):
                 part = batch.slice(lo, _ROUND)
                 lists = part["runs"]
                 keys = np.asarray(lists.flatten())
-                starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
-                weights = np.asarray(part["tf"].flatten()) * idf.value[_counter(keys)]
-                samples = consistent_samples(keys.view(np.uint64), weights, starts, rows * bands)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part["cid"]), bands)), pa.array(band_keys(samples, rows).reshape(-1))], names=["cid", "band"])
+                size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((keys, df.value[_counter(keys)], row))
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+                first = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+                head = place < first[row]
+                cid = np.asarray(part["cid"])[row][head]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order][head]), pa.array(cid), pa.array(place[head].astype(np.int32)), pa.array(size[row][head].astype(np.int32))], names=["run", "cid", "place", "size"])
 
     return run
 
 
-def _weighted(idf, least_weighted: float, least: float):
+def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4 * _ROUND):
                 part = batch.slice(lo, 4 * _ROUND)
                 n = part.num_rows
-                pair, keys, tf = [], [], []
+                pair, keys = [], []
                 for x in "ab":
                     lists = part[f"runs_{x}"]
                     pair.append(np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets))))
                     keys.append(np.asarray(lists.flatten()))
-                    tf.append(np.asarray(part[f"tf_{x}"].flatten()))
-                pair, keys, tf = np.concatenate(pair), np.concatenate(keys), np.concatenate(tf)
+                pair, keys = np.concatenate(pair), np.concatenate(keys)
                 order = np.lexsort((keys, pair))
                 pair, keys = pair[order], keys[order]
-                w = (tf * idf.value[_counter(keys[np.argsort(order)])])[order]
                 both = np.flatnonzero((pair[1:] == pair[:-1]) & (keys[1:] == keys[:-1]))
                 shared = np.bincount(pair[both], minlength=n)
-                shared_w = np.bincount(pair[both], np.minimum(w[both], w[both + 1]), minlength=n)
                 size = np.bincount(pair, minlength=n)
-                weighted = shared_w / (np.bincount(pair, w, minlength=n) - shared_w)
                 plain = shared / (size - shared)
-                keep = pa.array((weighted >= least_weighted) & (plain >= least))
+                keep = pa.array(plain >= least)
                 yield pa.RecordBatch.from_arrays([part["sig_a"].filter(keep), part["sig_b"].filter(keep), pa.array(plain).filter(keep)], names=["sig_a", "sig_b", "alike"])
 
     return run
 
 
-def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int = 3, least: float = 0.6, least_runs: int = 15, rows: int = 3, at: float = 0.45, recall: float = 0.999, least_weighted: float = 0.35) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of records whose run sets are at least ``least`` alike.
+def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int = 3, least: float = 0.6, least_runs: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of records whose run sets are at least ``least`` alike: all of them, by no estimate.
 
     members: (id, sig), each record with its class of equal sets; links: (sig_a,
     sig_b, alike), each pair of classes once. A record's set is of all runs
-    of ``n`` words within each of the text ``fields``. The number of bands comes
-    from the collision curve: pairs of weighted similarity ``at`` meet with
-    probability ``recall``. Null and empty texts have no runs; records with
-    fewer than ``least_runs`` runs are in neither result. Repeated rows count
-    once; rows of one id with different texts are members of each class. Only
-    the named columns are read. An empty input gives empty results.
+    of ``n`` words within each of the text ``fields``. Null and empty texts have
+    no runs; records with fewer than ``least_runs`` runs are in neither result.
+    Repeated rows count once; rows of one id with different texts are members of
+    each class. Only the named columns are read. An empty input gives empty results.
     """
     spark = records.sparkSession
     rows_in = records.select(F.col(key).cast("long").alias("id"), *fields).filter("id is not null")
-    each = stage(rows_in.mapInArrow(_shingles(list(fields), n, least_runs), "id long, sig binary, runs array<long>, tf array<int>"), "runs")
+    each = stage(rows_in.mapInArrow(_shingles(list(fields), n, least_runs), "id long, sig binary, runs array<long>"), "runs")
     members = each.select("id", "sig").distinct()
     # within the operator a class goes by a number, half as long as its signature and better to compress
-    classes = Staged(each.groupBy("sig").agg(F.min("tf").alias("tf"), F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = Staged(each.groupBy("sig").agg(F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     sets = classes.df
-    idf = spark.sparkContext.broadcast(inverse_frequencies(sets))
-    bands = bands_for(at, rows, recall)
-    sketch = Staged(sets.select("cid", "tf", "runs").mapInArrow(_bands(idf, rows, bands), "cid long, band long"), "bands")
-    a, b = sketch.df.select("band", F.col("cid").alias("cid_a")), sketch.df.select("band", F.col("cid").alias("cid_b"))
-    pairs = a.join(b, "band").filter("cid_a < cid_b").select("cid_a", "cid_b").distinct()
-    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs", "tf")])
-    links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_weighted(idf, least_weighted, least), "sig_a binary, sig_b binary, alike double")
+    df = spark.sparkContext.broadcast(frequencies(sets).astype(np.int32))
+    index = Staged(sets.select("cid", "runs").mapInArrow(_prefixes(df, least), "run long, cid long, place int, size int"), "index")
+    a, b = (index.df.select("run", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "place", "size")]) for x in "ab")
+    # at the first run that two sets share, what follows in the shorter rest bounds all they share
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = most * F.lit(1 + least) >= (F.col("size_a") + F.col("size_b")) * F.lit(least) - 1e-6
+    pairs = a.join(b, "run").filter((F.col("cid_a") < F.col("cid_b")) & enough).select("cid_a", "cid_b").distinct()
+    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs")])
+    links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_alike(least), "sig_a binary, sig_b binary, alike double")
     links = stage(links, "links")
-    sketch.drop()
+    index.drop()
     classes.drop()
     return members, links
 

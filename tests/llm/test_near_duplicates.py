@@ -76,6 +76,24 @@ def test_a_hot_group(spark):
     assert found(spark, data)[0] == brute(data)
 
 
+def test_template_with_rare_rest(spark):
+    # plain similarity of 0.65 and more, of runs that most records have; what differs is rare and weighs the most
+    template = [f"t{k}" for k in range(80)]
+    rnd = random.Random(4)
+    data = [(k, None, " ".join(template + [f"r{k}x{j}" for j in range(rnd.randrange(14, 26))])) for k in range(60)]
+    data += [(100 + k, " ".join(rnd.choices([f"w{j}" for j in range(900)], k=60)), None) for k in range(120)]
+    want = brute(data)
+    assert len(want) > 500 and found(spark, data)[0] == want
+
+
+def test_the_threshold_itself(spark):
+    # 30 of 50 runs shared make a case, 30 of 51 do not
+    base = [f"b{k}" for k in range(32)]
+    data = [(k, " ".join(base), " ".join(f"s{k}y{j}" for j in range(12))) for k in range(2)] + [(2, " ".join(base), " ".join(f"s2y{j}" for j in range(13)))]
+    data += [(10 + k, None, " ".join(f"s{k % 2}y{j}" for j in range(12)) + " " + " ".join(f"z{k}y{j}" for j in range(40))) for k in range(8)]
+    assert found(spark, data)[0] == brute(data) == [(0, 1)]
+
+
 def test_edge_cases(spark):
     long = " ".join(f"v{k}" for k in range(30_000))
     data = [(1, None, None), (2, "", " "), (3, "a b c", "a b c"), (None, long, None), (4, long, None), (5, None, long.upper()), (6, "…!", "?")]
