@@ -1,10 +1,8 @@
-"""Evaluation texts leaking into training text, by latent semantic retrieval.
+"""Evaluation texts leaking into training text.
 
-Passages of the evaluation items become TF-IDF vectors, with frequencies counted
-over the whole corpus. A distributed randomised SVD gives their latent space,
-into which every window of every document is projected. Windows whose cosine to
-a passage is high enough are candidates; a check of common runs of words, and
-the longest common subsequence for the report, follow.
+Every run of words of the evaluation items is hashed, and every run of every
+document that has only words of theirs is looked up among them, so that no leak
+depends on an estimate. The longest common subsequence serves the report.
 """
 
 from __future__ import annotations
@@ -19,24 +17,19 @@ from pyspark.sql import functions as F
 
 from normgraph.llm.hashing import mix64
 from normgraph.llm.words import WORD
-from normgraph.staging import Staged, stage
+from normgraph.staging import stage
 
 _BLOCK = 4096
 _MOST_WORDS = 5_000_000  # of the evaluation set; beyond it, split the set
 
 
 @dataclass(frozen=True)
-class Latent:
-    """What the executors need: word ids, weights, the latent space and the item passages in it."""
+class Runs:
+    """What the executors need: word ids of the evaluation set and its runs."""
 
-    vectors: np.ndarray  # (dims + 1, k): idf times the word's direction; the last row is of words of no item
-    energy: np.ndarray  # (dims + 1): idf squared
-    passages: np.ndarray  # (passages, k), of unit full norm before projection
-    passage_item: np.ndarray
+    vocabulary: dict[str, int]
     run_keys: np.ndarray  # sorted hashes of item runs
     run_item: np.ndarray
-    least_energy: float
-    least_cosine: float
     run: int
 
 
@@ -66,38 +59,6 @@ def longest_common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _ids(vocabulary, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, find = vocabulary.value.get, WORD.findall
-        for batch in batches:
-            lists = []
-            for t in batch["text"].to_pylist():
-                words = find(t.lower()) if t else ()
-                lists.append(np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words)))
-            ends = np.cumsum([0] + [len(x) for x in lists]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
-
-    return run
-
-
-def _frequency(n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(n_words, dtype=np.int64), 0
-        for batch in batches:
-            lists = batch["ids"]
-            ids = np.asarray(lists.flatten())
-            doc = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            known = ids >= 0
-            pairs = np.unique(doc[known].astype(np.int64) * n_words + ids[known])
-            total += np.bincount(pairs % n_words, minlength=n_words)
-            docs += len(lists)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"word": np.append(used, -1), "n": np.append(total[used], docs)})
-
-    return run
-
-
 def _gram(weights, basis, dims: int):
     """Partial sums of A^T A B over passages of one partition, in blocks of rows."""
 
@@ -128,6 +89,7 @@ def randomised_svd(passages: DataFrame, weights: np.ndarray, k: int, rounds: int
     A random basis is carried through A^T A and orthonormalised ``rounds`` times;
     each product is a pass over the passages, summed by blocks of rows. The
     driver holds dims x (k + extra) numbers, whatever the number of passages.
+    leaked_items does not use it: no cosine in a latent space bounds a common run.
     """
     sc = passages.sparkSession.sparkContext
     dims = len(weights)
@@ -147,59 +109,36 @@ def randomised_svd(passages: DataFrame, weights: np.ndarray, k: int, rounds: int
     return basis @ turn[:, np.argsort(-values)[:k]]
 
 
-def _search(latent, key: str):
+def _search(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Latent = latent.value
-        dims, n = len(m.energy) - 1, m.run
+        m: Runs = model.value
+        get, find, n = m.vocabulary.get, WORD.findall, m.run
         for batch in batches:
-            keys, docs, items = batch[key], [], []
-            lists = batch["ids"]
-            flat, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64)
-            ends = ends - ends[0]
-            # blocks of n words, none across documents; a window is two neighbouring blocks and holds every run of n
-            n_blocks = -(-np.diff(ends) // n)
-            first = np.cumsum(n_blocks) - n_blocks
-            doc = np.repeat(np.arange(len(lists)), n_blocks)
-            start = ends[:-1][doc] + (np.arange(len(doc)) - first[doc]) * n
-            if not len(doc):
-                continue
-            row = np.where(flat >= 0, flat % dims, dims)
-            energy = np.add.reduceat(m.energy[row], start)
-            follows = np.append(doc[1:] == doc[:-1], False)
-            window = energy + np.where(follows, np.append(energy[1:], 0), 0)
-            hot = np.flatnonzero(window >= m.least_energy)  # no run of an item has less
-            for lo in range(0, len(hot), 2048):
-                at = hot[lo : lo + 2048]
-                a, b = start[at], np.minimum(start[at] + 2 * n, ends[doc[at] + 1])
-                size = b - a
-                places = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                x = np.add.reduceat(m.vectors[row[places]], np.cumsum(size) - size)
-                cosine = (x @ m.passages.T) / np.sqrt(np.maximum(window[at], 1e-12))[:, None]
-                who, which = np.nonzero(cosine >= m.least_cosine)
-                near = np.unique(who.astype(np.int64) << 32 | m.passage_item[which])
-                # check: does the window hold a run of the item?
-                who, item = near >> 32, near & 0xFFFFFFFF
-                some = np.unique(who)
-                for w in some.tolist():
-                    runs = run_hashes(flat[a[w] : b[w]], n)
-                    runs = runs[runs > 0]
-                    if not len(runs):
-                        continue
-                    lo_, hi_ = np.searchsorted(m.run_keys, runs, "left"), np.searchsorted(m.run_keys, runs, "right")
-                    found = {int(m.run_item[p]) for l, h in zip(lo_.tolist(), hi_.tolist()) for p in range(l, h)}
-                    if found:
-                        mine = set(item[who == w].tolist())
-                        for i in found & mine:
-                            docs.append(int(doc[at[w]]))
-                            items.append(i)
+            docs, items = [], []
+            for d, text in enumerate(batch["text"].to_pylist()):
+                words = find(text.lower()) if text else ()
+                if len(words) < n:
+                    continue
+                ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                known = np.append(0, np.cumsum(ids >= 0))
+                at = np.flatnonzero(known[n:] - known[:-n] == n)
+                if not len(at):
+                    continue
+                # stretches of known words: each of its runs begins at one of ``at``
+                cuts = np.flatnonzero(np.diff(at) > 1) + 1
+                keys = np.concatenate([run_hashes(ids[part[0] : part[-1] + n], n) for part in np.split(at, cuts)])
+                lo, hi = np.searchsorted(m.run_keys, keys, "left"), np.searchsorted(m.run_keys, keys, "right")
+                hit = np.flatnonzero(hi > lo)
+                found = {int(i) for p in hit.tolist() for i in m.run_item[lo[p] : hi[p]].tolist()}
+                docs += [d] * len(found)
+                items += sorted(found)
             if docs:
-                pairs = sorted(set(zip(docs, items)))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array([p[0] for p in pairs])), pa.array([p[1] for p in pairs], pa.int32())], names=[key, "item"])
+                yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(docs)), pa.array(items, pa.int32())], names=[key, "item"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", run: int = 12, k: int = 96, least_cosine: float = 0.2) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", run: int = 12) -> DataFrame:
     """(key, item_key): the documents that hold ``run`` consecutive words of an item.
 
     documents: (key, text); items: (item_key, text). Words are lower-cased runs
@@ -209,9 +148,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
     empty result.
 
     The evaluation set is held in memory (at most 5 million different words,
-    checked); frequencies, windows and candidates cover all of every document.
-    A window needs at least the TF-IDF energy of the lightest run of any item,
-    which no window with such a run lacks, before its cosines are computed.
+    checked); all runs of every document are looked up, in one pass.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
@@ -223,39 +160,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
         return documents.select(F.col(key), F.lit(None).cast(item_kind).alias(item_key)).limit(0)
     if len(vocabulary) > _MOST_WORDS:
         raise ValueError(f"the evaluation set has {len(vocabulary)} different words; split it")
-    dims = min(len(vocabulary), 1 << 16)
-    words = sc.broadcast(vocabulary)
-    coded = stage(documents.select(F.col(key).alias("key"), "text").mapInArrow(_ids(words, "key"), f"key {kind}, ids array<int>"), "coded")
-    counts = coded.select("ids").mapInArrow(_frequency(len(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(dims)
-    known = counts[counts["word"] >= 0]
-    np.add.at(df, known["word"].to_numpy(dtype=np.int64) % dims, known["n"].to_numpy(dtype=float))
-    total = float(counts.loc[counts["word"] < 0, "n"].sum())
-    idf = np.log1p(total / (1 + df))
-
-    parts, owner, keys, run_owner = [], [], [], []
-    step = max(1, run // 3)
+    keys, run_owner = [], []
     for n, t in enumerate(texts):
         if len(t) < run:
             continue
-        ids = np.array([vocabulary[w] for w in t], dtype=np.int64)
-        for at in [*range(0, len(ids) - run, step), len(ids) - run]:
-            parts.append(ids[at : at + run])
-            owner.append(n)
-        h = run_hashes(ids, run)
+        h = run_hashes(np.array([vocabulary[w] for w in t], dtype=np.int64), run)
         keys.append(h)
         run_owner.append(np.full(len(h), n))
     keys, run_owner = np.concatenate(keys), np.concatenate(run_owner)
     order = np.argsort(keys, kind="stable")
-    passages = Staged(spark.createDataFrame([(p.tolist(),) for p in parts], "ids array<int>"), "passages")
-    v = randomised_svd(passages.df, idf, k)
-    passages.drop()
-    energy = np.append(idf**2, 0.0)
-    least = min(np.convolve(energy[np.array([vocabulary[w] for w in t]) % dims], np.ones(run), "valid").min() for t in texts if len(t) >= run)
-    vectors = np.vstack([idf[:, None] * v, np.zeros(v.shape[1])]).astype(np.float32)
-    matrix = np.array([vectors[p % dims].sum(axis=0) / max(1e-12, np.sqrt(np.square(np.bincount(p % dims, idf[p % dims])).sum())) for p in parts], dtype=np.float32)
-    model = sc.broadcast(Latent(vectors, energy, matrix, np.array(owner, dtype=np.int64), keys[order], run_owner[order], float(least) * (1 - 1e-9), least_cosine, run))
-    pairs = coded.mapInArrow(_search(model, "key"), f"key {kind}, item int")
+    model = sc.broadcast(Runs(vocabulary, keys[order], run_owner[order], run))
+    pairs = documents.select(F.col(key).alias("key"), "text").mapInArrow(_search(model, "key"), f"key {kind}, item int")
     names = spark.createDataFrame([(n, r.id) for n, r in enumerate(rows)], f"item int, id {item_kind}")
     return pairs.join(F.broadcast(names), "item").select(F.col("key").alias(key), F.col("id").alias(item_key)).distinct()
 

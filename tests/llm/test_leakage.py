@@ -52,6 +52,22 @@ def test_every_run_of_twelve_is_found(spark):
         assert got == want and len(want) > 30
 
 
+def test_light_run_between_heavy_words(spark):
+    # the run is of words that all documents have; its neighbours are rare words of other items
+    rnd = random.Random(5)
+    light = [f"c{k}" for k in range(12)]
+    heavy = [[f"h{i}x{k}" for k in range(30)] for i in range(40)]
+    items = [(0, " ".join(light))] + [(1 + i, " ".join(w)) for i, w in enumerate(heavy)]
+    docs = [(d, " ".join(rnd.sample(light, 12))) for d in range(400)]
+    for d in range(20):
+        a, b = rnd.sample(heavy, 12), rnd.sample(heavy, 12)
+        docs.append((400 + d, " ".join([rnd.choice(w) for w in a] + light + [rnd.choice(w) for w in b])))
+    want = brute(docs, items)
+    assert len(want) >= 20
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(lk.leaked_items(df, spark.createDataFrame(items, "item_id long, text string"))) == want
+
+
 def test_edge_cases(spark):
     run = "one two three four five six seven eight nine ten eleven twelve"
     items = spark.createDataFrame([(1, run), (2, None), (3, ""), (4, "too short"), (5, run.upper() + " more")], "item_id long, text string")
