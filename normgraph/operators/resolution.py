@@ -41,18 +41,19 @@ def resolve_references(refs: DataFrame, provisions: DataFrame) -> DataFrame:
     first, second = at(0).try_cast("int"), at(1).try_cast("int")
     r = refs.withColumn("rid", F.monotonically_increasing_id())
     ranged = F.col("target") == "articles"
-    wanted = F.when(ranged & (second >= first) & (second - first <= 1000), F.sequence(first, second)).when((F.col("target") == "article") & first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<int>"))
-    r = r.withColumn("wanted", wanted).withColumn("paragraph_", F.when(F.col("target") == "article", at(1))).withColumn("point_", F.when(F.col("target") == "article", at(2)))
+    wide = ranged & (second >= first)
+    last = F.when(wide, second).when((F.col("target") == "article") & first.isNotNull(), first)
+    r = r.withColumn("last_", last).withColumn("first_", F.when(F.col("last_").isNotNull(), first)).withColumn("paragraph_", F.when(F.col("target") == "article", at(1))).withColumn("point_", F.when(F.col("target") == "article", at(2)))
     known = provisions.select("doc", F.col("article").try_cast("int").alias("article"), "paragraph", "point").filter("article is not null").distinct()
-    each = r.select("rid", "doc", "paragraph_", "point_", F.explode("wanted").alias("article"))
-    j = each.join(known, ["doc", "article"])
+    each = r.filter("last_ is not null").select("rid", "doc", "paragraph_", "point_", "first_", "last_")
+    j = each.join(known, "doc").filter(F.col("article").between(F.col("first_"), F.col("last_")))
     inner = (F.col("paragraph_").isNull() | F.col("paragraph").eqNullSafe(F.col("paragraph_"))) & (F.col("point_").isNull() | F.col("point").eqNullSafe(F.col("point_")))
     found = j.groupBy("rid").agg(F.countDistinct("article").alias("articles"), F.max(inner).alias("inner"), F.sort_array(F.collect_set("article")).alias("targets"))
     out = r.join(found, "rid", "left")
-    n, size = F.coalesce("articles", F.lit(0)), F.size("wanted")
+    n, size = F.coalesce("articles", F.lit(0)), F.coalesce(F.col("last_").cast("long") - F.col("first_") + 1, F.lit(0))
     status = (
         F.when(F.col("kind") == "external", "external").when(size == 0, "not_found").when(n == 0, "not_found").when(ranged, "range_ref")
-        .when((F.get("wanted", F.lit(0)) == F.col("source_article").try_cast("int")) & F.col("paragraph_").isNull(), "self_ref").when(F.col("inner"), "resolved").otherwise("partial")
+        .when((F.col("first_") == F.col("source_article").try_cast("int")) & F.col("paragraph_").isNull(), "self_ref").when(F.col("inner"), "resolved").otherwise("partial")
     )
     confidence = F.when(status.isin("external", "self_ref", "resolved") | ((status == "range_ref") & (n == size)), 1.0).when(status.isin("partial", "range_ref"), 0.75).otherwise(0.0)
     return out.select("doc", "source_article", "kind", "target", "identifier", status.alias("status"), confidence.alias("confidence"), F.coalesce("targets", F.array().cast("array<int>")).alias("targets"))

@@ -62,6 +62,13 @@ Action: Secretariat to report.
 The motion had 12 votes in favour, 3 against and 2 abstentions."""
 
 
+def test_wide_ranges(spark):
+    there = spark.createDataFrame([(1, str(k), None, None) for k in (1, 2, 900, 1500)] + [(2, "5000", None, None)], "doc long, article string, paragraph string, point string")
+    refs = spark.createDataFrame([(1, "1", "range", "articles", "articles:1/2000"), (1, "1", "range", "articles", "articles:2/2147483647"), (2, "1", "range", "articles", "articles:1/4999"), (1, "1", "range", "articles", "articles:9/2")], "doc long, source_article string, kind string, target string, identifier string")
+    got = {r["identifier"]: (r["status"], r["confidence"], r["targets"]) for r in res.resolve_references(refs, there).collect()}
+    assert got == {"articles:1/2000": ("range_ref", 0.75, [1, 2, 900, 1500]), "articles:2/2147483647": ("range_ref", 0.75, [2, 900, 1500]), "articles:1/4999": ("not_found", 0.0, []), "articles:9/2": ("not_found", 0.0, [])}
+
+
 def test_minutes(spark):
     d = spark.createDataFrame([(1, MINUTES), (2, None)], "doc_id long, text string")
     assert ("Chair", "Ms. A. Kahido") in rows(mi.heads(d), "field", "value")
