@@ -86,7 +86,7 @@ def e_line_diff(spark, d):
 
 
 def e_triples(spark, d):
-    docs = _t(spark, d, "documents").filter("lower(substr(lang, 1, 2)) = 'en'").select("doc_id", "text", F.concat(F.lit("doc:"), "doc_id").alias("base"))
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("doc:"), "doc_id").alias("base"))
     return ex.provision_triples(docs, F.col("base"))
 
 

@@ -276,3 +276,11 @@ def test_streams(spark, tmp_path):
     assert n.filter("path = 'q'").count() == 1 and n.filter("path = 'p'").count() == 2
     d = spark.createDataFrame([("A safety rule", "x", datetime(2020, 1, 1)), ("Other", "y", None)], "title string, category string, published_at timestamp")
     assert rows(watch.filter_documents(d, title_contains="SAFETY", since="2019-01-01"), "category") == [("x",)]
+
+
+def test_triples_of_all_languages(spark, tmp_path):
+    from normgraph.queries_text import e_triples
+
+    spark.createDataFrame([(k, LAW, lang) for k, lang in enumerate(("en", None, "und", "de"))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = rows(e_triples(spark, str(tmp_path)))
+    assert all((f"doc:{k}:Art1", "reg:references", f"doc:{k}:Art2") in t for k in range(4))
