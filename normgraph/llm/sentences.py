@@ -51,7 +51,6 @@ _CANDIDATE = regex.compile(_ENDS + _CLOSE + r"(?P<gap>\s*)|(?P<line>[^\S\n\r]*(?
 _CANDIDATE_THAI = regex.compile(_CANDIDATE.pattern + r"|(?P<blank>[^\S\n\r]+)")
 _PAIR = {"“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
 _WIDE = "。．｡！？।॥"
-_REACH = 24
 _UNBALANCED = 6.0
 _HOPELESS = -2.5  # ends scored at most this are no candidates: neither balance nor length outweighs it
 
@@ -279,12 +278,15 @@ class _Block:
         gain = [0.0] + [c[2] for c in cand] + [0.0]
         depth, least = self._depths(ends) if _QUOTES.search(text, lo, hi) else (None, None)
         best, back = [0.0] * (n + 2), [0] * (n + 2)
+        most = [0.0] * (n + 2)  # of the best scores up to each candidate
         for j in range(1, n + 2):
             top, arg = -1e18, j - 1
             low = least[j] if depth else 0
-            for i in range(j - 1, max(-1, j - 1 - _REACH), -1):
+            for i in range(j - 1, -1, -1):
                 # span from starts[i] to ends[j]
                 size = ends[j] - starts[i]
+                if most[i] + gain[j] - (0.5 + (size - 900) / 900 if size > 900 else 0.0) < top - 1e-9:
+                    break  # longer spans cost no less, so no earlier start is better
                 s = best[i] + gain[j]
                 if depth:
                     if least[i + 1] < low:
@@ -299,6 +301,7 @@ class _Block:
                 if s > top:
                     top, arg = s, i
             best[j], back[j] = top, arg
+            most[j] = max(most[j - 1], top)
         out, j = [], n + 1
         while j > 0:
             i = back[j]

@@ -73,3 +73,9 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "One. Two.", 0), (2, None, 0), (3, "", 0), (4, " \n ", 0), (None, "One.", 0), (1, "One. Two.", 0)], "doc_id long, text string, unit_start int")
     assert rows(sentence_units(df)) == sorted([(1, 0, 4), (1, 5, 9)] * 2 + [(None, 0, 4)], key=str)
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_spans_reach_over_any_number_of_line_ends():
+    # no cut is forced after 24 poor ends: the cuts are those of the programme that looks back to the start
+    text = '12 cases text of the\nAlpha beta long words of a longer and longer line that holds more\n12 cases text of the\n12 cases text of the\n12 cases words that go on\nAlpha beta text of the\nAlpha beta A\nAlpha beta words that go on\nAlpha beta text of the\n12 cases text of the\nAlpha beta A\n12 cases words that go on\n12 cases words that go on\n12 cases A\n12 cases words that go on\n12 cases text of the\n12 cases A\nAlpha beta text of the\nAlpha beta A\nAlpha beta A\nAlpha beta A\nAlpha beta words that go on\nAlpha beta long words of a longer and longer line that holds more\n12 cases A\nAlpha beta long words of a longer and longer line that holds more\nAlpha beta long words of a longer and longer line that holds more\n12 cases long words of a longer and longer line that holds more\n12 cases long words of a longer and longer line that holds more\n12 cases text of the\n12 cases text of the\nAlpha beta words that go on\n12 cases A\n12 cases long words of a longer and longer line that holds more\nAlpha beta text of the\nAlpha beta words that go on\nAlpha beta long words of a longer and longer line that holds more\n12 cases words that go on\n12 cases text of the\nAlpha beta words that go on.'
+    assert sentence_spans(text) == [(0, 629), (630, 968), (969, 1161)]
