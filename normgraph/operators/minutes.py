@@ -11,9 +11,9 @@ from normgraph.operators.extraction import amendments, lines, scan_patterns
 # Lines of a head, agenda items, and phrases of minutes.
 HEAD = ("Date", "Time", "Location", "Chair", "Secretary", "Present", "Apologies", "Absent")
 MINUTES = (
-    ("agenda", r"(?m)^\s*(?:Item\s+)?(\d{1,2})[.:)]\s+([A-Z][^\n]{2,120})$"),
+    ("agenda", r"(?m)^\s*(?:Item\s+)?(\d{1,2})[.:)]\s+([A-Z][^\n]{2,})$"),
     ("speaker", r"(?m)^\s*((?:Mr|Ms|Mrs|Dr|Prof)\.\s+[A-Z][\w.' -]+?|The\s+(?:Chair|Rapporteur|Secretariat)|[A-Z][A-Z' -]{2,40})(?:\s+\(([^)]+)\))?:\s+(\S[^\n]*)"),
-    ("decision", r"(?i)\b((?:it\s+was\s+)?(?:decided|agreed|resolved|adopted|approved|rejected|deferred))\b\s*(?:that|to|on|:)?\s*([^\n.]{3,200})"),
+    ("decision", r"(?i)\b((?:it\s+was\s+)?(?:decided|agreed|resolved|adopted|approved|rejected|deferred))\b\s*(?:that|to|on|:)?\s*([^\n.]{3,})"),
     ("action", r"(?i)\baction(?:\s+item)?s?\s*:\s*([^\n]+)"),
     ("vote", r"(?i)\b(\d+)\s+(?:votes?\s+)?(?:in\s+favou?r|for)\b[^\d\n]{1,20}(\d+)\s+(?:votes?\s+)?against\b(?:[^\d\n]{1,20}(\d+)\s+abst\w*)?"),
 )

@@ -68,8 +68,7 @@ def g_merge_delete(spark, d):
 
 
 def g_added(spark, d):
-    a = provision_graph(spark, d)
-    return relational_graph(spark, d, ("region", "nation")).added_by(relational_graph(spark, d, ("nation", "supplier")).df).unionByName(a.find(p="reg:title").limit(0))
+    return relational_graph(spark, d, ("region", "nation")).added_by(relational_graph(spark, d, ("nation", "supplier")).df)
 
 
 def g_degrees(spark, d):

@@ -69,6 +69,12 @@ def test_wide_ranges(spark):
     assert got == {"articles:1/2000": ("range_ref", 0.75, [1, 2, 900, 1500]), "articles:2/2147483647": ("range_ref", 0.75, [2, 900, 1500]), "articles:1/4999": ("not_found", 0.0, []), "articles:9/2": ("not_found", 0.0, [])}
 
 
+def test_long_items_and_decisions(spark):
+    title, what = "Report " + "on the state of the harbours " * 9 + "today", "the fees " + "of all harbours and " * 20 + "ports"
+    p = rows(mi.parts(spark.createDataFrame([(1, f"1. {title}\nIt was agreed that {what}.\n")], "doc_id long, text string")), "kind", "a", "b")
+    assert ("agenda", "1", title) in p and ("decision", "It was agreed", what) in p
+
+
 def test_minutes(spark):
     d = spark.createDataFrame([(1, MINUTES), (2, None)], "doc_id long, text string")
     assert ("Chair", "Ms. A. Kahido") in rows(mi.heads(d), "field", "value")
