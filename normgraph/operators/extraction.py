@@ -261,5 +261,5 @@ def provision_triples(documents: DataFrame, prefix: Column, key: str = "doc_id",
     body = art.select("s", "base", "body")
     refs = references(body, "s", "body").filter("target = 'article'").join(body.select("s", "base"), "s").select("s", F.lit("reg:references").alias("p"), F.concat("base", F.lit(":Art"), F.split_part(F.split_part("identifier", F.lit(":"), F.lit(2)), F.lit("/"), F.lit(1))).alias("o"))
     duties = norms(body, "s", "body").select("s", F.when(F.col("kind") == "right", "reg:grantsRight").otherwise("reg:imposesObligation").alias("p"), F.concat_ws(":", "s", "kind", "verb").alias("o"))
-    terms = definitions(body, "s", "body").select("s", F.lit("reg:definesTerm").alias("p"), F.col("normalized").alias("o"))
+    terms = definitions(body, "s", "body").select("s", F.lit("reg:defines").alias("p"), F.col("normalized").alias("o"))
     return base.unionByName(refs).unionByName(duties).unionByName(terms).distinct()

@@ -16,10 +16,15 @@ NAMESPACES = {
     "dc": "http://purl.org/dc/terms/", "eli": "http://data.europa.eu/eli/ontology#", "frbr": "http://purl.org/vocab/frbr/core#",
 }
 
-#: Predicates that relate two provisions, for graph exports.
-RELATIONS = tuple(
-    "reg:partOf reg:contains reg:belongsTo reg:hasArticle reg:hasChapter reg:hasSection reg:hasParagraph reg:hasPoint reg:hasRecital reg:references reg:referencedBy reg:refersToArticle reg:refersToChapter reg:refersToPoint reg:refersToParagraph reg:resolvedTarget reg:definedIn reg:definesTerm reg:usesTerm reg:grantsRight reg:imposesObligation reg:amends reg:amendedBy reg:supersedes reg:supersededBy reg:repeals reg:repealedBy reg:delegatesTo reg:delegatedBy reg:requires reg:externalRef reg:versionOf reg:hasVersion".split()
-)
+#: Predicates that relate two resources, for graph exports.
+RELATIONS = (
+    "reg:partOf", "reg:contains", "reg:belongsTo", "reg:hasChapter", "reg:hasSection", "reg:hasArticle", "reg:hasParagraph", "reg:hasPoint", "reg:hasRecital",
+    "reg:references", "reg:referencedBy", "reg:refersToArticle", "reg:refersToChapter", "reg:refersToPoint",
+    "reg:defines", "reg:definedIn", "reg:usesTerm", "reg:grantsRight", "reg:imposesObligation",
+    "reg:amends", "reg:amendedBy", "reg:supersedes", "reg:supersededBy", "reg:repeals", "reg:repealedBy", "reg:delegatesTo",
+    "reg:resolvedTarget", "reg:alternativeTarget", "reg:externalRef",
+    "eli:is_part_of", "eli:has_part", "eli:cites", "eli:cited_by",
+)
 
 
 class TripleGraph:

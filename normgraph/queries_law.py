@@ -110,7 +110,6 @@ def t_participation(spark, d):
 QUERIES = {f.__name__: f for f in (t_deferrals, t_inactive, t_differences, t_chains, t_participation, r_resolution, r_report, r_keywords, c_citations, m_heads, m_parts, m_swimlanes, m_rule_differences, x_eli, l_domains, l_downloads)}
 
 _N = "with n as (select distinct subject s, coalesce(a.predicate, t.predicate) p, object o from triples t left join attributes a on t.predicate = a.full_uri where subject <> '' and t.predicate <> '' and object <> '') "
-_MAP = lambda d, c: "case " + " ".join(f"when {c} = '{k}' then '{v}'" for k, v in d.items()) + " end"
 
 _AGENDA = "with v as (select * from (select lower(trim(uri)) u, *, row_number() over (partition by lower(trim(uri)) order by recorded_at desc) r from meetings where uri is not null) where r = 1 and not coalesce(is_deleted, false)), m as (select *, row_number() over (partition by series order by meeting_date nulls first, u) place from v), i as (select series, u, place, unnest(agenda_items, recursive := true) from m), a as (select series, place, lower(trim(title)) topic, outcome from i where trim(title) <> '') "
 _EVENTS = "with e as (select distinct on (event_uri) * from (select unnest(lane_events, recursive := true) from (select distinct on (lane_id) * from swimlanes)))"
@@ -126,7 +125,10 @@ SQL = {
     "m_heads": r"with l as (select doc_id, unnest(range(len(x))) n, unnest(x) as line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') x from documents where text is not null)), h as (select doc_id, n, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 1) field, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 2) value from l) select doc_id, field, arg_min(value, n) as value from h where field in ('Date', 'Time', 'Location', 'Chair', 'Secretary', 'Present', 'Apologies', 'Absent') group by 1, 2",
     "m_swimlanes": "with e as (select distinct on (event_uri) event_uri, ts, event_type from (select unnest(lane_events, recursive := true) from (select distinct on (lane_id) * from swimlanes)) ) select event_type as lane, cast(row_number() over (partition by event_type order by ts, event_uri) as int) as place, event_uri from e where trim(event_type) <> ''",
     "m_rule_differences": "with c as (select base_version v, rule_no as rule, clause, max(base_text) t from clause_changes where rule_no is not null and clause is not null group by 1, 2, 3), a as (select * from c where v = '114th'), b as (select * from c where v = '115th') select rule, clause, case when a.v is null then 'added' when b.v is null then 'removed' else 'modified' end as change from a full join b using (rule, clause) where a.v is null or b.v is null or a.t is distinct from b.t",
-    "x_eli": _N + f"select distinct s, p, o from (select s, p, {_MAP(con.ELI_CLASSES, 'o')} o from n where p = 'rdf:type' union all select s, {_MAP(con.ELI_PROPERTIES, 'p')}, o from n union all select s, p, o from n where p like 'eli:%' or o like 'eli:%') where p is not null and o is not null",
+    "x_eli": _N
+    + """, c(k, v) as (values ('reg:Regulation', 'eli:LegalResource'), ('reg:Directive', 'eli:LegalResource'), ('reg:Decision', 'eli:LegalResource'), ('reg:Chapter', 'eli:LegalResourceSubdivision'), ('reg:Section', 'eli:LegalResourceSubdivision'), ('reg:Article', 'eli:LegalResourceSubdivision'), ('reg:Paragraph', 'eli:LegalResourceSubdivision'), ('reg:Point', 'eli:LegalResourceSubdivision'), ('reg:Preamble', 'eli:LegalResourceSubdivision'), ('reg:Recital', 'eli:LegalResourceSubdivision')),
+x(k, v) as (values ('reg:title', 'eli:title'), ('reg:number', 'eli:id_local'), ('reg:identifier', 'eli:id_local'), ('reg:partOf', 'eli:is_part_of'), ('reg:contains', 'eli:has_part'), ('reg:date', 'eli:date_document'), ('reg:version', 'eli:version'), ('reg:references', 'eli:cites'), ('reg:referencedBy', 'eli:cited_by'))
+select s, p, v as o from n join c on n.o = c.k where p = 'rdf:type' union select s, v, o from n join x on n.p = x.k union select s, p, o from n where p like 'eli:%' or o like 'eli:%'""",
     "l_domains": r"select regexp_replace(lower(regexp_extract(u, '://([^/:?#]+)', 1)), '^www\.', '') as domain, count(*) as n, count(*) as n_ok, 1.0::double as rate from (select unnest(regexp_extract_all(text, 'https?://[\w.-]+')) u from documents) group by 1",
     "l_downloads": "select source, status, count(*) as n, cast(sum(n_chars) as bigint) as bytes from (select coalesce(source, 'none') source, coalesce(doc_type, 'none') status, n_chars from documents) group by rollup (source, status)",
 }

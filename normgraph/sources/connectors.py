@@ -76,14 +76,27 @@ def still_fresh(cache: DataFrame, now: Column, seconds: int = 3600) -> DataFrame
 
 
 # Classes and properties of the European legislation identifier for those of the graph.
-ELI_CLASSES = {"reg:Regulation": "eli:LegalResource", "reg:Article": "eli:LegalResourceSubdivision", "reg:Chapter": "eli:LegalResourceSubdivision", "reg:Section": "eli:LegalResourceSubdivision", "reg:Recital": "eli:LegalResourceSubdivision"}
-ELI_PROPERTIES = {"reg:title": "eli:title", "reg:references": "eli:cites", "reg:referencedBy": "eli:cited_by", "reg:amends": "eli:amends", "reg:amendedBy": "eli:amended_by", "reg:repeals": "eli:repeals", "reg:partOf": "eli:is_part_of", "reg:contains": "eli:has_part", "reg:date": "eli:date_document"}
-
-
-def with_eli(triples: DataFrame) -> DataFrame:
-    """Triples and their counterparts under the European legislation identifier."""
+ELI_CLASSES = {
+    "reg:Regulation": "eli:LegalResource", "reg:Directive": "eli:LegalResource", "reg:Decision": "eli:LegalResource",
+    "reg:Chapter": "eli:LegalResourceSubdivision", "reg:Section": "eli:LegalResourceSubdivision", "reg:Article": "eli:LegalResourceSubdivision", "reg:Paragraph": "eli:LegalResourceSubdivision",
+    "reg:Point": "eli:LegalResourceSubdivision", "reg:Preamble": "eli:LegalResourceSubdivision", "reg:Recital": "eli:LegalResourceSubdivision",
+}
+ELI_PROPERTIES = {
+    "reg:title": "eli:title", "reg:number": "eli:id_local", "reg:identifier": "eli:id_local", "reg:partOf": "eli:is_part_of", "reg:contains": "eli:has_part",
+    "reg:date": "eli:date_document", "reg:version": "eli:version", "reg:references": "eli:cites", "reg:referencedBy": "eli:cited_by",
+}
+#: Types of documents that the identifier is made for; others stay as they are.
+ELI_DOCUMENTS = ("regulation", "directive", "decision")
+
+
+def with_eli(triples: DataFrame, document_type: str | Column = "regulation") -> DataFrame:
+    """Triples and their counterparts under the European legislation identifier.
+
+    ``document_type`` is that of all triples or a column of theirs; only those of the European types get counterparts.
+    """
     lookup = lambda d, c: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[c]
-    t = triples.select("s", "p", "o")
-    typed = t.filter("p = 'rdf:type'").select("s", "p", lookup(ELI_CLASSES, F.col("o")).alias("o"))
-    linked = t.select("s", lookup(ELI_PROPERTIES, F.col("p")).alias("p"), "o")
-    return t.unionByName(typed.dropna()).unionByName(linked.dropna()).distinct()
+    kind = F.lit(document_type) if isinstance(document_type, str) else document_type
+    t = triples.select("s", "p", "o", F.coalesce(F.lower(kind).isin(*ELI_DOCUMENTS), F.lit(False)).alias("eu"))
+    typed = t.filter("eu and p = 'rdf:type'").select("s", "p", lookup(ELI_CLASSES, F.col("o")).alias("o"))
+    linked = t.filter("eu").select("s", lookup(ELI_PROPERTIES, F.col("p")).alias("p"), "o")
+    return t.drop("eu").unionByName(typed.dropna()).unionByName(linked.dropna()).distinct()
