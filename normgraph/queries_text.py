@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from normgraph.functions import text as fn
 from normgraph.operators import extraction as ex
 from normgraph.sources import rdf
 from normgraph.sources.tables import relational_graph
-from normgraph.staging import shared_dir
+from normgraph.staging import scratch
 from normgraph.streaming import watch
 
 
@@ -129,14 +127,14 @@ def _stream(spark, d):
 
 def w_windowed(spark, d):
     """Events counted per hour and type through a stream of files."""
-    name = f"w_{uuid.uuid4().hex}"
-    out = watch.into_memory(watch.windowed_counts(_stream(spark, d)), name, f"{shared_dir(spark)}/{name}")
+    where = scratch(spark, "windows")
+    out = watch.run_updates(watch.windowed_counts(_stream(spark, d)), f"{where}/out", f"{where}/state", ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
 def w_first_seen(spark, d):
     """Users by a stream that lets each pass once, written to files."""
-    name = f"{shared_dir(spark)}/w_{uuid.uuid4().hex}"
+    name = scratch(spark, "seen")
     watch.run_once(watch.first_seen(_stream(spark, d).select("user_id", "ts"), "user_id", "ts", "60 days"), f"{name}/out", f"{name}/state")
     return spark.read.parquet(f"{name}/out").select("user_id")
 

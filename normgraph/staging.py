@@ -2,65 +2,70 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
 every executor shares, so that a lost executor costs a re-read and no
-recomputation. Only where that setting is absent (tests, notebooks) a temporary
-folder of this machine is set instead.
+recomputation. Where that setting is absent, a local session (tests, notebooks)
+gets a temporary folder of its machine; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, as the session names it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="normgraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session is gone: its folder is the cluster's to clear
-            pass
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there when the driver's JVM ends is deleted."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
 
 
 class Staged:
-    """A table written to the shared folder; ``df`` reads it, ``drop()`` deletes it."""
+    """A table written to the shared folder; ``df`` reads it, ``drop()`` deletes it.
+
+    ``observed`` are aggregates over its rows, computed while it is written; ``seen`` holds their values.
+    """
 
-    def __init__(self, df: DataFrame, name: str = "stage"):
+    def __init__(self, df: DataFrame, name: str = "stage", **observed: Column):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        self.schema = df.schema
-        _made.append((self.spark, self.path))
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(self.schema).parquet(self.path)
+        self.path = scratch(self.spark, name)
+        schema = df.schema
+        watch = Observation() if observed else None
+        if watch:
+            df = df.observe(watch, *[c.alias(k) for k, c in observed.items()])
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path)
+        self.seen = watch.get if watch else {}
+        self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
-        _remove(self.spark, self.path)
-        _made.remove((self.spark, self.path))
+        fs, target = _file_system(self.spark, self.path)
+        fs.delete(target, True)
+        fs.cancelDeleteOnExit(target)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. It is removed when Python ends."""
+    """Write ``df`` to the shared folder and read it back. It is removed when the driver ends."""
     return Staged(df, name).df
 
 

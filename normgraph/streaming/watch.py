@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,11 +69,21 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
     return q
 
 
-def into_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process what is there into an in-memory table, for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_updates(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Process what is there and return the last state of each key of an aggregating stream.
+
+    Each batch writes only the keys that changed to a folder of its own, so nothing is gathered on the driver
+    and a repeated batch replaces itself. Rows later than the stream's watermark no longer count.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    values = [c for c in stream.columns if c not in keys]
+    written = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return written.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("last")).select(*keys, *[f"last.{c}" for c in values])
 
 
 def watch_and_ingest(stream: DataFrame, library, to_triples, checkpoint: str) -> StreamingQuery:
