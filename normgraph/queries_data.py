@@ -1,11 +1,11 @@
 """Queries of the data operators and their SQL."""
 
 from normgraph.operators.eav import p3_found, p3_wide
-from normgraph.operators.hierarchy import p6_found, p6_paths
+from normgraph.operators.hierarchy import p6_descendants, p6_found, p6_paths
 from normgraph.operators.intervals import p5_found
 from normgraph.operators.orphans import p2_found, p2_report
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_wide": p3_wide, "p5_found": p5_found, "p6_found": p6_found, "p6_paths": p6_paths}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_wide": p3_wide, "p5_found": p5_found, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
 
 _CITE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '^\s+|\s+$', '', 'g'), '^urn:external:', ''), '^directive:', ''), '^regulation:', ''), '\s+', ' ', 'g'))"
 
@@ -63,5 +63,6 @@ n as (select *, lead(a) over (partition by speaker_uri, role order by k) nxt fro
 select speaker_uri, role, 'period' as kind, strftime(a, '%Y-%m-%d') as from_date, case when b = date '9999-12-31' then 'open' else strftime(b, '%Y-%m-%d') end as to_date from n
 union all select speaker_uri, role, 'gap', strftime(b + 1, '%Y-%m-%d'), strftime(nxt - 1, '%Y-%m-%d') from n where nxt is not null""",
     "p6_found": _TREE + "select n.id as institution_id, coalesce(t.root, 'cycle') as root_id, cast(coalesce(t.depth, -1) as bigint) as depth, cast(case when t.id is null then -1 else coalesce(s.c, 0) end as bigint) as n_descendants from n left join t on n.id = t.id left join s on n.id = s.anc",
+    "p6_descendants": _TREE + "select anc as institution_id, id as descendant_id from u",
     "p6_paths": _TREE + "select id as institution_id, path from t",
 }
