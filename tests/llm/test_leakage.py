@@ -8,14 +8,16 @@ from tests.conftest import rows
 
 
 def brute(docs, items, n=12):
-    out = set()
+    grams = {}
     for i, t in items:
         w = WORD.findall((t or "").lower())
-        grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
-        for d, text in docs:
-            v = WORD.findall((text or "").lower())
-            if any(tuple(v[k : k + n]) in grams for k in range(len(v) - n + 1)):
-                out.add((d, i))
+        for k in range(len(w) - n + 1):
+            grams.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = set()
+    for d, text in docs:
+        v = WORD.findall((text or "").lower())
+        for k in range(len(v) - n + 1):
+            out |= {(d, i) for i in grams.get(tuple(v[k : k + n]), ())}
     return sorted(out, key=str)
 
 
@@ -102,3 +104,42 @@ def test_svd(spark):
     assert np.allclose(v.T @ v, np.eye(5), atol=1e-8)
     exact = np.linalg.svd(a)[1][:5]
     assert np.allclose(np.linalg.norm(a @ v, axis=0), exact, rtol=0.02)
+
+
+def test_recall_on_zipf_words(spark):
+    # words of natural frequencies, runs of twelve in other text, from a few items to some thousands (several shards)
+    for n_items in (30, 300, 3000):
+        rnd = np.random.default_rng(n_items)
+        draw = lambda k: [f"z{x}" for x in np.minimum(rnd.zipf(1.3, k), 50_000)]  # noqa: B023, E731
+        items = [(i, " ".join(draw(80))) for i in range(n_items)]
+        docs = []
+        for d in range(600):
+            w = items[rnd.integers(n_items)][1].split()
+            at = rnd.integers(len(w) - 12)
+            docs.append((d, " ".join(draw(60) + w[at : at + 12] + draw(60))))
+        got = rows(lk.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+        want = brute(docs, items)
+        assert got == want and len(want) >= 600
+
+
+def test_paraphrases_and_answers(spark):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    items = [(i, " ".join(rnd.sample(words, 40)), f"answer {i}") for i in range(50)]
+    docs, want = [], set()
+    for d in range(200):
+        t = rnd.choices(words, k=80)
+        if d % 2:
+            i, text, _ = rnd.choice(items)
+            w = text.split()
+            for k in range(5, 40, 6):  # one word in six is another
+                w[k] = f"x{k}"
+            t[30:30] = w
+            want.add((d, i))
+            if d % 4 == 1:
+                t += ["Answer", str(i)]
+        docs.append((d, " ".join(t)))
+    report = lk.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string"), answer="answer").collect()
+    found = {(r.doc_id, r.item_id) for r in report if r.kind == "paraphrase"}
+    assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 2
+    assert all(r.share >= 0.6 for r in report) and all(r.answered == (r.doc_id % 4 == 1) for r in report if (r.doc_id, r.item_id) in want)
