@@ -30,6 +30,14 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def most_unequal(similarity: float, samples: int, loss: float) -> int:
+    """The most of ``samples`` two-bit samples that a pair of this similarity may differ in, but for a share of ``loss`` of such pairs."""
+    p, tail, most = 0.75 * (1 - similarity), 0.0, samples
+    while most > 0 and tail + (term := math.comb(samples, most) * p**most * (1 - p) ** (samples - most)) <= loss:
+        tail, most = tail + term, most - 1
+    return most
+
+
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     """(n, bands * rows) hash minima to (n, bands) 64-bit keys, distinct between bands."""
     n, total = minima.shape

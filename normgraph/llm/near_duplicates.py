@@ -1,9 +1,11 @@
 """Near-duplicate records with small edits.
 
-Records become sets of hashed word runs. An inverted index of each set's rarest
-runs, as many as the plain Jaccard threshold asks for (a prefix filter), proposes
-every pair that can reach the threshold, and an exact check of the plain
-similarity follows. Records with the same set are one class throughout.
+Records become sets of hashed word runs, weighted by inverse document frequency
+within fixed bounds. Improved consistent weighted samples of the sets, in bands,
+propose pairs, and an exact check of the similarity follows. The bounds of the
+weights turn the least plain similarity of a case into a least weighted one, for
+which the collision curve gives the number of bands, whatever the frequencies
+are. Records with the same set are one class throughout.
 """
 
 from __future__ import annotations
@@ -16,12 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.llm.hashing import mix64
+from normgraph.llm.hashing import band_keys, bands_for, mix64, most_unequal
 from normgraph.llm.words import WordHasher, counted, runs
 from normgraph.staging import Staged, stage
 
 _COUNTERS = 20  # the document-frequency sketch has 2^20 counters: 4 MB, whatever the input
 _ROUND = 512
+_SPREAD = 1.25  # the largest weight of a run over the least one
+_ROWS = 3
+_RECALL = 0.9999  # of a pair that is just enough alike, in the worst case of weights
+_SKETCH = 4  # words of 32 two-bit samples, by which most of what the bands propose is dropped
+_LOSS = 1e-5  # of pairs that are just enough alike, to the sketch
+_CROWD = 1000  # members of a band that one task pairs with each other
 
 
 def _shingles(fields: Sequence[str], n: int, least: int):
@@ -66,58 +74,111 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return df
 
 
-def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
-    """Improved consistent weighted samples of segments of weighted keys: (segments, hashes) 64-bit samples.
+def bounded_weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies log(1 + n / df), scaled to 1 for a run of all ``n`` sets and _SPREAD for one of a single set."""
+    idf = np.log1p(n / np.maximum(1, df))
+    low, high = np.log(2), np.log1p(n)
+    return (1 + (_SPREAD - 1) * np.clip((idf - low) / max(1e-9, high - low), 0, 1)).astype(np.float32)
 
-    Two segments share a sample with the probability of their weighted Jaccard similarity. For
-    estimates only: near_duplicates does not sample, as no sample bounds the plain similarity.
-    """
-    out = np.empty((len(starts), hashes), dtype=np.uint64)
+
+def least_weighted(least: float) -> float:
+    """The least weighted Jaccard similarity of sets of plain similarity ``least``: what they share weighs 1, the rest _SPREAD."""
+    return least / (least + (1 - least) * _SPREAD)
+
+
+def sample_values(keys: np.ndarray, weights: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of weighted keys, their value under each of ``hashes`` improved consistent weighted samplings, (keys, hashes),
+    of which a set's least is its sample, and the step of the weight at which it is drawn."""
     log_w = np.log(weights).astype(np.float32)
-    lens = np.diff(np.append(starts, len(keys)))
     # five uniform numbers for each key and hash: a well-mixed key times an odd number per hash, its upper 24 bits
     base = [mix64(keys + np.uint64(j)) for j in range(1, 6)]
     odd = mix64(np.arange(1, 5 * hashes + 1, dtype=np.uint64)).reshape(hashes, 5) | np.uint64(1)
     unit, shift = np.float32(2.0**-24), np.uint64(40)
+    values, steps = np.empty((hashes, len(keys)), dtype=np.float32), np.empty((hashes, len(keys)), dtype=np.float32)
     for k in range(hashes):
         u = [((base[j] * odd[k, j]) >> shift).astype(np.float32) * unit + unit / 2 for j in range(5)]
         r = -np.log(u[0] * u[1])  # Gamma(2, 1)
         t = np.floor(log_w / r + u[4])
-        value = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
-        least = np.repeat(np.minimum.reduceat(value, starts), lens)
-        at = np.flatnonzero(value == least)
-        at = at[np.searchsorted(at, starts)]
-        out[:, k] = mix64(keys[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return out
+        values[k] = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
+        steps[k] = t
+    return values, steps
 
 
-def _prefixes(df, least: float):
-    """The rarest runs of each set, with their place in it from the rarest on, and its size.
+def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+    """Improved consistent weighted samples of segments of weighted keys: (segments, hashes) 64-bit samples.
 
-    Two sets of at least ``least`` share ``least`` of either's runs or more, so whatever the order of the
-    runs, as long as it is one for all, the first run they share is among the first
-    size - least * size + 1 of either. Rare first keeps runs of templates out where others are enough.
+    Two segments share a sample with the probability of their weighted Jaccard similarity. A key of the
+    same weight is drawn alike wherever it stands, so what repeats among the segments is drawn once.
     """
+    out = np.empty((len(starts), hashes), dtype=np.uint64)
+    pairs = np.empty(len(keys), dtype=[("key", np.uint64), ("weight", np.float32)])
+    pairs["key"], pairs["weight"] = keys, weights
+    distinct, place = np.unique(pairs, return_inverse=True)
+    values, steps = sample_values(distinct["key"], distinct["weight"], hashes)
+    for k in range(hashes):
+        value = values[k][place]
+        least = np.repeat(np.minimum.reduceat(value, starts), np.diff(np.append(starts, len(keys))))
+        at = np.flatnonzero(value == least)
+        at = place[at[np.searchsorted(at, starts)]]
+        out[:, k] = mix64(distinct["key"][at] + steps[k][at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
+
+def _sampled(df, n: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROUND):
                 part = batch.slice(lo, _ROUND)
                 lists = part["runs"]
                 keys = np.asarray(lists.flatten())
-                size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-                row = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((keys, df.value[_counter(keys)], row))
-                place = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-                first = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-                head = place < first[row]
-                cid = np.asarray(part["cid"])[row][head]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order][head]), pa.array(cid), pa.array(place[head].astype(np.int32)), pa.array(size[row][head].astype(np.int32))], names=["run", "cid", "place", "size"])
+                starts = (np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0]).astype(np.int64)
+                weights = bounded_weights(df.value[_counter(keys)], n)
+                samples = consistent_samples(keys.view(np.uint64), weights, starts, bands * _ROWS)
+                found = pa.ListArray.from_arrays(pa.array(np.arange(len(samples) + 1, dtype=np.int32) * bands), pa.array(band_keys(samples, _ROWS).reshape(-1)))
+                bits = (samples[:, : 32 * _SKETCH] & np.uint64(3)) << (np.uint64(2) * (np.arange(32 * _SKETCH, dtype=np.uint64) % np.uint64(32)))
+                words = bits.reshape(len(samples), _SKETCH, 32).sum(axis=2, dtype=np.uint64).view(np.int64)
+                size = np.diff(np.append(starts, len(keys))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["cid"], found, pa.array(size), *map(pa.array, words.T)], names=["cid", "bands", "size", *_sketch()])
 
     return run
 
 
-def _alike(least: float):
+def _sketch(suffix: str = "") -> list[str]:
+    return [f"s{k}{suffix}" for k in range(_SKETCH)]
+
+
+def likely_pairs(pairs: DataFrame, sampled: DataFrame, similarity: float, least: float) -> DataFrame:
+    """Those of the pairs whose sizes and sketches allow a weighted ``similarity`` and a plain one of ``least``."""
+    for x in "ab":
+        pairs = pairs.join(sampled.select(F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _sketch()]), f"cid_{x}")
+    unequal = F.lit(0)
+    for c in _sketch():
+        x = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-6
+    return pairs.filter(fits & (unequal <= most_unequal(similarity, 32 * _SKETCH, _LOSS))).select("cid_a", "cid_b")
+
+
+def banded_pairs(bands: DataFrame, crowd: int = _CROWD) -> DataFrame:
+    """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band) that share a band.
+
+    Bands of one member are dropped after a map-side count. A band of more than ``crowd`` members is split: each
+    task pairs ``crowd`` of them with all.
+    """
+    counts = Staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts", crowded=F.count_if(F.col("n") > crowd))
+    live = bands.join(counts.df, "band")
+    a, b = (live.select("band", F.col("cid").alias(f"cid_{x}"), "n") for x in "ab")
+    small = a.filter(F.col("n") <= crowd).drop("n").join(b.filter(F.col("n") <= crowd).drop("n"), "band")
+    out = small.filter("cid_a < cid_b").select("cid_a", "cid_b")
+    if counts.seen["crowded"]:
+        parts = F.ceil(F.col("n") / crowd).cast("int")
+        left = a.filter(F.col("n") > crowd).select("band", "cid_a", F.pmod(F.xxhash64("cid_a"), parts).cast("int").alias("part"))
+        right = b.filter(F.col("n") > crowd).select("band", "cid_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        out = out.unionByName(left.join(right, ["band", "part"]).filter("cid_a < cid_b").select("cid_a", "cid_b"))
+    return out.distinct()
+
+
+def _alike(least: float, df, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4 * _ROUND):
@@ -136,39 +197,45 @@ def _alike(least: float):
                 size = np.bincount(pair, minlength=n)
                 plain = shared / (size - shared)
                 keep = pa.array(plain >= least)
-                yield pa.RecordBatch.from_arrays([part["sig_a"].filter(keep), part["sig_b"].filter(keep), pa.array(plain).filter(keep)], names=["sig_a", "sig_b", "alike"])
+                weights = bounded_weights(df.value[_counter(keys)], total)
+                common = np.bincount(pair[both], weights[both], minlength=n)
+                weighted = common / (np.bincount(pair, weights, minlength=n) - common)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (part["sig_a"], part["sig_b"], pa.array(plain), pa.array(weighted))], names=["sig_a", "sig_b", "alike", "weighted"])
 
     return run
 
 
 def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int = 3, least: float = 0.6, least_runs: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of records whose run sets are at least ``least`` alike: all of them, by no estimate.
+    """(members, links) of records whose run sets are at least ``least`` alike.
 
     members: (id, sig), each record with its class of equal sets; links: (sig_a,
-    sig_b, alike), each pair of classes once. A record's set is of all runs
+    sig_b, alike, weighted), each pair of classes once, with its plain and weighted similarity. A record's set is of all runs
     of ``n`` words within each of the text ``fields``. Null and empty texts have
     no runs; records with fewer than ``least_runs`` runs are in neither result.
     Repeated rows count once; rows of one id with different texts are members of
     each class. Only the named columns are read. An empty input gives empty results.
+
+    A pair that is just enough alike shares a band with a probability of at least
+    0.9999, whatever the frequencies of its runs, and is lost to the sketch with one of
+    at most 1e-5; more alike ones are rather found.
     """
     spark = records.sparkSession
     rows_in = records.select(F.col(key).cast("long").alias("id"), *fields).filter("id is not null")
     each = stage(rows_in.mapInArrow(_shingles(list(fields), n, least_runs), "id long, sig binary, runs array<long>"), "runs")
     members = each.select("id", "sig").distinct()
     # within the operator a class goes by a number, half as long as its signature and better to compress
-    classes = Staged(each.groupBy("sig").agg(F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sets = classes.df
+    classes = Staged(each.groupBy("sig").agg(F.min("runs").alias("runs")).withColumn("cid", F.monotonically_increasing_id()), "classes", n=F.count(F.lit(1)))
+    sets, total = classes.df, classes.seen["n"]
     df = spark.sparkContext.broadcast(frequencies(sets).astype(np.int32))
-    index = Staged(sets.select("cid", "runs").mapInArrow(_prefixes(df, least), "run long, cid long, place int, size int"), "index")
-    a, b = (index.df.select("run", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "place", "size")]) for x in "ab")
-    # at the first run that two sets share, what follows in the shorter rest bounds all they share
-    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    enough = most * F.lit(1 + least) >= (F.col("size_a") + F.col("size_b")) * F.lit(least) - 1e-6
-    pairs = a.join(b, "run").filter((F.col("cid_a") < F.col("cid_b")) & enough).select("cid_a", "cid_b").distinct()
+    n_bands = max(bands_for(least_weighted(least), _ROWS, _RECALL), -(-32 * _SKETCH // _ROWS))
+    columns = ", ".join(["cid long", "bands array<long>", "size int", *[f"{c} long" for c in _sketch()]])
+    sampled = Staged(sets.select("cid", "runs").mapInArrow(_sampled(df, total, n_bands), columns), "sampled")
+    pairs = banded_pairs(sampled.df.select("cid", F.explode("bands").alias("band")))
+    pairs = likely_pairs(pairs, sampled.df, least_weighted(least), least)
     side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs")])
-    links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_alike(least), "sig_a binary, sig_b binary, alike double")
+    links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_alike(least, df, total), "sig_a binary, sig_b binary, alike double, weighted double")
     links = stage(links, "links")
-    index.drop()
+    sampled.drop()
     classes.drop()
     return members, links
 

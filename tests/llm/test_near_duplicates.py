@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from normgraph.llm import near_duplicates as nd
+from normgraph.llm.hashing import most_unequal
 from normgraph.llm.words import WORD, WordHasher, counted, runs
 from tests.conftest import rows
 
@@ -43,7 +44,7 @@ def found(spark, data, extra=""):
     m = {}
     for i, sig in rows(members):
         m.setdefault(bytes(sig), set()).add(i)
-    pairs = {(min(a, b), max(a, b)) for x, y, _ in rows(links) for a in m[bytes(x)] for b in m[bytes(y)]}
+    pairs = {(min(a, b), max(a, b)) for x, y, *_ in rows(links) for a in m[bytes(x)] for b in m[bytes(y)]}
     pairs |= {(a, b) for s in m.values() for a in s for b in s if a < b}
     return sorted(pairs), members, links
 
@@ -94,6 +95,47 @@ def test_the_threshold_itself(spark):
     assert found(spark, data)[0] == brute(data) == [(0, 1)]
 
 
+def test_shared_runs_of_any_frequency(spark):
+    # what a pair shares stands in 1, 5 or 20 per cent of the records, what differs nowhere else
+    for n in (1000, 4000):
+        for share in (0.01, 0.05, 0.2):
+            rnd = random.Random(n + int(100 * share))
+            size = int(n * share)
+            families = [[f"f{k}y{j}" for j in range(70)] for k in range(3)]
+            data = []
+            for k in range(n):
+                if k < 3 * min(size, 60):  # members enough to measure; the other records hold the runs beside much else
+                    data.append((k, None, " ".join(families[k % 3] + [f"r{k}x{j}" for j in range(rnd.randrange(10, 17))])))
+                else:
+                    more = families[k % 3] if k < 3 * size else []
+                    data.append((k, " ".join(more), " ".join(f"o{k}x{j}" for j in range(200 if more else 30))))
+            few = [r for r in data if r[2] and r[2].startswith("f")]
+            want = brute(few)
+            got = found(spark, data)[0]
+            assert want and not set(got) - set(want)
+            assert len(set(got) & set(want)) >= 0.999 * len(want)
+
+
+def test_weights_are_bounded():
+    w = nd.bounded_weights(np.array([1, 10, 1000, 5000]), 1000)
+    assert w[0] == np.float32(1.25) and w[2] == w[3] == 1 and 1 < w[1] < 1.25
+    assert abs(nd.least_weighted(0.6) - 0.6 / 1.1) < 1e-12
+
+
+def test_sketch_curve():
+    most = most_unequal(0.5, 128, 1e-5)
+    rnd = np.random.default_rng(1)
+    unequal = rnd.binomial(128, 0.75 * 0.5, 1_000_000)
+    assert (unequal > most).mean() <= 2e-5 and (unequal > most - 2).mean() > 1e-5
+
+
+def test_crowded_bands_are_split(spark):
+    bands = spark.createDataFrame([(c, c % 3) for c in range(60)] + [(7, 99), (8, 99), (9, 5)], "cid long, band long")
+    want = sorted({(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3} | {(7, 8)}, key=str)
+    for crowd in (4, 1000):
+        assert rows(nd.banded_pairs(bands, crowd)) == want
+
+
 def test_edge_cases(spark):
     long = " ".join(f"v{k}" for k in range(30_000))
     data = [(1, None, None), (2, "", " "), (3, "a b c", "a b c"), (None, long, None), (4, long, None), (5, None, long.upper()), (6, "…!", "?")]
