@@ -51,8 +51,7 @@ _CANDIDATE = regex.compile(_ENDS + _CLOSE + r"(?P<gap>\s*)|(?P<line>[^\S\n\r]*(?
 _CANDIDATE_THAI = regex.compile(_CANDIDATE.pattern + r"|(?P<blank>[^\S\n\r]+)")
 _PAIR = {"“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
 _WIDE = "。．｡！？।॥"
-_UNBALANCED = 6.0
-_HOPELESS = -2.5  # ends scored at most this are no candidates: neither balance nor length outweighs it
+_UNBALANCED = 6.0  # more than any end is worth
 
 
 def _wrap_width(lines: list[str]) -> tuple[int, float]:
@@ -181,7 +180,7 @@ class _Block:
         return 4.0, False
 
     def candidates(self) -> list[tuple[int, int, float]]:
-        """(end, next start, score), in order."""
+        """(end, next start, score) of ends of positive score, in order: no cost of a span outweighs a negative one."""
         text, lo, hi, out = self.text, self.lo, self.hi, []
         thai = _THAI.search(text, lo, hi) is not None
         fresh = lo  # where the current hard line begins
@@ -219,7 +218,7 @@ class _Block:
                         score = max(score, at_line)
                     if score > 0:
                         fresh = nxt
-            if score > _HOPELESS and end > lo:
+            if score > 0 and end > lo:
                 out.append((end, nxt, score))
         return out
 
@@ -265,37 +264,36 @@ class _Block:
         return at - start <= 24 and _NUMBERED.fullmatch(self.text, start, at) is not None
 
     def choose(self) -> list[tuple[int, int]]:
-        """Spans of the block's units."""
+        """Spans of the block's units: those of the largest sum of scores.
+
+        A span has the score of how it closes, less what its length and its opening cost, and less a charge
+        for every quotation or bracket that it ends within.
+        """
         text, lo, hi = self.text, self.lo, self.hi
         cand = self.candidates()
+        if cand and _QUOTES.search(text, lo, hi):
+            depth = self._depths([c[0] for c in cand])
+            cand = [(end, nxt, score - _UNBALANCED * d) for (end, nxt, score), d in zip(cand, depth)]
+            cand = [c for c in cand if c[2] > 0]
         if not cand:
             return [(lo, hi)]
-        if not any(c[2] > 0 for c in cand):
-            return [(lo, hi)]
         n = len(cand)
-        ends = [lo] + [c[0] for c in cand] + [hi]
+        ends = [c[0] for c in cand] + [hi]
         starts = [lo] + [c[1] for c in cand]
         gain = [0.0] + [c[2] for c in cand] + [0.0]
-        depth, least = self._depths(ends) if _QUOTES.search(text, lo, hi) else (None, None)
         best, back = [0.0] * (n + 2), [0] * (n + 2)
         most = [0.0] * (n + 2)  # of the best scores up to each candidate
         for j in range(1, n + 2):
             top, arg = -1e18, j - 1
-            low = least[j] if depth else 0
             for i in range(j - 1, -1, -1):
-                # span from starts[i] to ends[j]
-                size = ends[j] - starts[i]
-                if most[i] + gain[j] - (0.5 + (size - 900) / 900 if size > 900 else 0.0) < top - 1e-9:
+                # span from starts[i] to ends[j - 1]
+                size = ends[j - 1] - starts[i]
+                long = 1.0 - 450 / size if size > 900 else 0.0
+                if most[i] + gain[j] - long < top - 1e-9:
                     break  # longer spans cost no less, so no earlier start is better
-                s = best[i] + gain[j]
-                if depth:
-                    if least[i + 1] < low:
-                        low = least[i + 1]
-                    s -= _UNBALANCED * (depth[i] + depth[j] - 2 * min(low, depth[i], depth[j]))
+                s = best[i] + gain[j] - long
                 if size < 3:
-                    s -= 2.0 if any(c.isalnum() for c in text[starts[i] : ends[j]]) else 8.0
-                elif size > 900:
-                    s -= 0.5 + (size - 900) / 900
+                    s -= 2.0 if any(c.isalnum() for c in text[starts[i] : ends[j - 1]]) else 8.0
                 if i and text[starts[i]].islower() and gain[i] < 4.0:
                     s -= 0.5
                 if s > top:
@@ -305,34 +303,37 @@ class _Block:
         out, j = [], n + 1
         while j > 0:
             i = back[j]
-            out.append((starts[i], ends[j]))
+            out.append((starts[i], ends[j - 1]))
             j = i
         return out[::-1]
 
-    def _depths(self, ends: list[int]) -> tuple[list[int], list[int]]:
-        """Open quotations and brackets at each candidate, and the least number since the one before."""
-        stack: list[str] = []
-        depth, least, k = [0] * len(ends), [0] * len(ends), 1
-        low, text = 0, self.text
+    def _depths(self, ends: list[int]) -> list[int]:
+        """Number of quotations and brackets open at each end; those that the block does not close do not count."""
+        text, stack, spans = self.text, [], []  # stack: (closing mark, place of the opening one)
         for m in _QUOTES.finditer(text, self.lo, self.hi):
             at, c = m.start(), m.group()
-            while k < len(ends) and ends[k] <= at:
-                depth[k], least[k] = len(stack), low
-                low, k = len(stack), k + 1
-            if stack and c == stack[-1]:
-                stack.pop()
-            elif c in stack and c not in "“":
-                while stack.pop() != c:
-                    pass
-            elif c == '"':
-                stack.append('"')
-            elif c in _PAIR and not (c == "‘" and at and text[at - 1].isalpha()):
-                stack.append(_PAIR[c])
-            low = min(low, len(stack))
-        while k < len(ends):
-            depth[k], least[k] = len(stack), low
-            low, k = len(stack), k + 1
-        return depth, least
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] != c:
+                k -= 1
+            opens = c in _PAIR and not (c == "‘" and at and text[at - 1].isalpha())
+            if k >= 0 and not (opens and c != "“" and c != '"') and not (c == "’" and text[at + 1 : at + 2].isalpha()):
+                spans.append((stack[k][1], at))
+                del stack[k:]
+            elif c == '"' and not text[at + 1 : at + 2].isspace() and (at == self.lo or not text[at - 1].isalnum()):
+                stack.append(('"', at))
+            elif opens:
+                stack.append((_PAIR[c], at))
+        change: dict[int, int] = {}
+        for a, b in spans:
+            change[a] = change.get(a, 0) + 1
+            change[b] = change.get(b, 0) - 1
+        marks, out, k, depth = sorted(change), [], 0, 0
+        for end in ends:
+            while k < len(marks) and marks[k] < end:
+                depth += change[marks[k]]
+                k += 1
+            out.append(depth)
+        return out
 
 
 _NUMBERED = regex.compile(r"\s*(?:(?:[\p{L}]{2,12}\.?|§)\s+)?[\p{N}IVXLC]{1,7}")

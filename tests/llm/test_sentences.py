@@ -79,3 +79,26 @@ def test_spans_reach_over_any_number_of_line_ends():
     # no cut is forced after 24 poor ends: the cuts are those of the programme that looks back to the start
     text = '12 cases text of the\nAlpha beta long words of a longer and longer line that holds more\n12 cases text of the\n12 cases text of the\n12 cases words that go on\nAlpha beta text of the\nAlpha beta A\nAlpha beta words that go on\nAlpha beta text of the\n12 cases text of the\nAlpha beta A\n12 cases words that go on\n12 cases words that go on\n12 cases A\n12 cases words that go on\n12 cases text of the\n12 cases A\nAlpha beta text of the\nAlpha beta A\nAlpha beta A\nAlpha beta A\nAlpha beta words that go on\nAlpha beta long words of a longer and longer line that holds more\n12 cases A\nAlpha beta long words of a longer and longer line that holds more\nAlpha beta long words of a longer and longer line that holds more\n12 cases long words of a longer and longer line that holds more\n12 cases long words of a longer and longer line that holds more\n12 cases text of the\n12 cases text of the\nAlpha beta words that go on\n12 cases A\n12 cases long words of a longer and longer line that holds more\nAlpha beta text of the\nAlpha beta words that go on\nAlpha beta long words of a longer and longer line that holds more\n12 cases words that go on\n12 cases text of the\nAlpha beta words that go on.'
     assert sentence_spans(text) == [(0, 629), (630, 968), (969, 1161)]
+
+
+def test_a_quotation_of_any_length_is_part_of_its_sentence():
+    for n in range(1, 41):
+        for opening, closing in ("“”", "„“", "«»", '""', "()"):
+            inner = " ".join(f"Sentence number {k} is here." for k in range(n)) + " The last one goes,"
+            text = f"First comes this. {opening}{inner}{closing} said the delegate. Then more was said."
+            assert units(text) == ["First comes this.", f"{opening}{inner}{closing} said the delegate.", "Then more was said."], (n, opening)
+        for text in (
+            "主席说：「" + "".join(f"第{k}句话在这里。" for k in range(n)) + "」代表们同意了。",
+            "Председатель сказал: «" + " ".join(f"Это фраза номер {k} тут." for k in range(n)) + "», и все согласились.",
+            "Ο πρόεδρος είπε: «" + " ".join(f"Αυτή είναι η φράση {k} εδώ." for k in range(n)) + "» και όλοι συμφώνησαν.",
+        ):
+            assert units(text) == [text]
+
+
+def test_a_quotation_that_nothing_closes_does_not_hold_sentences_together():
+    assert units('He said "this. Then he left. Nobody came.') == ['He said "this.', "Then he left.", "Nobody came."]
+
+
+def test_long_units_without_an_end():
+    text = "\n".join(f"{k} of the entries that go on" for k in range(200))
+    assert len(units(text)) in (1, 200) and len(units("word " * 3000 + "end. Next one.")) == 2
