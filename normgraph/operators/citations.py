@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normgraph.operators.extraction import scan_patterns
+from normgraph.operators.grammar import citations_in
+
+def _citations(jurisdiction: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch["text"].to_pylist()):
+                mine = list(citations_in(text, jurisdiction)) if text else []
+                rows += [row] * len(mine)
+                found += mine
+            out = {
+                "rule": pa.array([f"{f.jurisdiction}:{f.kind}" for f, _ in found], pa.string()), "confidence": pa.array([f.confidence for f, _ in found], pa.float64()),
+                "start": pa.array([m.start() for _, m in found], pa.int64()), "end": pa.array([m.end() for _, m in found], pa.int64()), "matched": pa.array([m.group() for _, m in found], pa.string()),
+                "groups": pa.array([[g.strip() for g in m.groups() if g and g.strip()] for _, m in found], pa.list_(pa.string())),
+            }
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(rows, pa.int64())), *out.values()], names=["key", *out])
 
-# Forms of citations: jurisdiction, type, confidence, pattern.
-CITATIONS = (
-    ("eu", "regulation", 1.0, r"Regulation\s+\(E[CU]\)\s+(?:No\s+)?(\d+)/(\d+)"),
-    ("eu", "directive", 1.0, r"Directive\s+(?:\(E[CU]\)\s+)?(\d{2,4})/(\d+)(?:/E[CU])?"),
-    ("eu", "decision", 0.95, r"Decision\s+(?:\(E[CU]\)\s+)?(\d{2,4})/(\d+)(?:/E[CU])?"),
-    ("eu", "treaty", 0.9, r"(?:Article|Art\.)\s+(\d+)\s+(TFEU|TEU)"),
-    ("us", "usc", 1.0, r"(\d+)\s+U\.?\s?S\.?\s?C\.?\s+(?:§+|[Ss]ec(?:tion|\.)?)?\s*(\d+\w*(?:-\d+)?)"),
-    ("us", "cfr", 1.0, r"(\d+)\s+C\.?\s?F\.?\s?R\.?\s+(?:§+|[Pp]art)?\s*(\d+(?:\.\d+)?)"),
-    ("us", "public_law", 0.95, r"Pub(?:lic|\.)\s+L(?:aw|\.)\s+(?:No\.\s+)?(\d+)-(\d+)"),
-    ("us", "case", 0.8, r"(\d+)\s+(?:U\.S\.|S\.\s?Ct\.|F\.[23]d)\s+(\d+)"),
-    ("uk", "act", 0.9, r"([A-Z][A-Za-z]+(?:\s+(?:of|and|the|[A-Z][A-Za-z]+))*\s+Act)\s+(\d{4})"),
-    ("uk", "si", 0.95, r"S\.?I\.?\s+(\d{4})/(\d+)"),
-    ("uk", "case", 0.9, r"\[(\d{4})\]\s+(UKSC|EWCA|EWHC|UKHL)\s+(\d+)"),
-)
+    return run
 
 
 def citations(documents: DataFrame, jurisdiction: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,10 +34,10 @@ def citations(documents: DataFrame, jurisdiction: str | None = None, key: str =
     Where citations overlap, one counts only if none of higher confidence (then of an earlier start, then of the
     longer text) overlaps it.
     """
-    forms = [c for c in CITATIONS if jurisdiction in (None, c[0])]
-    hits = scan_patterns(documents, [(f"{j}:{t}", p) for j, t, _, p in forms], key, text, overlap=True)
-    sure = F.create_map(*[F.lit(x) for j, t, c, _ in forms for x in (f"{j}:{t}", c)])
-    hits = hits.withColumn("confidence", sure[F.col("rule")]).withColumn("rank", F.struct(-F.col("confidence"), "start", -F.col("end"), "rule"))
+    rows = documents.select(documents[key].alias("key"), documents[text].alias("text"))
+    kind = rows.schema[0].dataType.simpleString()
+    hits = rows.mapInArrow(_citations(jurisdiction), f"key {kind}, rule string, confidence double, start long, end long, matched string, groups array<string>").withColumnRenamed("key", key)
+    hits = hits.withColumn("rank", F.struct(-F.col("confidence"), "start", -F.col("end"), "rule"))
     # a chain of overlapping spans is one island; in it, the best spans that no better one overlaps
     w = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -42,7 +47,7 @@ def citations(documents: DataFrame, jurisdiction: str | None = None, key: str =
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))))
     out = g.select(key, F.explode(kept).alias("c"))
     part = lambda k: F.split_part("c.rule", F.lit(":"), F.lit(k))
-    return out.select(key, part(1).alias("jurisdiction"), part(2).alias("type"), F.array_compact("c.groups").alias("parts"), "c.start", "c.end", "c.matched", "c.confidence")
+    return out.select(key, part(1).alias("jurisdiction"), part(2).alias("type"), F.col("c.groups").alias("parts"), "c.start", "c.end", "c.matched", "c.confidence")
 
 
 def _year(c: Column) -> Column:

@@ -12,6 +12,7 @@ from normgraph.operators import minutes as mi
 from normgraph.operators import resolution as res
 from normgraph.sources import connectors as con
 from normgraph.sources.tables import provision_graph
+from normgraph.staging import stage
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,14 +21,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _resolved(spark, d):
     lines = ex.provisions(_t(spark, d, "documents").select("doc_id", "text")).withColumn("id", F.struct("doc_id", "line_no").cast("string"))
-    refs = ex.references(lines.filter("level is null"), "id", "line").join(lines.select("id", "doc_id", "article"), "id")
-    refs = refs.select(F.col("doc_id").alias("doc"), F.col("article").alias("source_article"), "kind", "target", "identifier")
-    there = lines.filter("article is not null").select(F.col("doc_id").alias("doc"), "article", F.lit(None).cast("string").alias("paragraph"), F.lit(None).cast("string").alias("point")).distinct()
-    return res.resolve_references(refs, there)
+    lines = stage(lines, "lines")
+    refs = ex.references(lines.filter("level is null"), "id", "line").join(lines.select("id", "doc_id", "article", "chapter"), "id")
+    refs = refs.select(F.col("doc_id").alias("doc"), F.col("article").alias("source_article"), F.col("chapter").alias("source_chapter"), "kind", "target", "identifier", "levels")
+    bodies = lines.filter("article is not null and level is null").groupBy("doc_id", "article").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    inner = res.split_paragraphs(bodies.withColumn("key", F.struct("doc_id", "article")), "key", "body").select("key.doc_id", "key.article", "paragraph", "point")
+    there = lines.select("doc_id", "chapter", "section", "article").distinct().unionByName(inner, allowMissingColumns=True)
+    return res.resolve_references(refs, there.withColumnRenamed("doc_id", "doc"))
 
 
 def r_resolution(spark, d):
-    """References in the corpus, resolved to articles of their own document."""
+    """References in the corpus, resolved to provisions of their own document."""
     return _resolved(spark, d).groupBy("doc", "target", "status", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 

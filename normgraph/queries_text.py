@@ -26,9 +26,9 @@ def e_references(spark, d):
 
 
 def e_reference_counts(spark, d):
-    """Matches per rule, each rule for itself."""
-    hits = ex.scan_patterns(_docs(spark, d), [(target, p) for _, target, p in ex.REFERENCES], overlap=True)
-    return hits.groupBy("doc_id", F.col("rule").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    """References to instruments of the Union per document and kind."""
+    found = ex.references(_docs(spark, d)).filter(F.col("target").isin("regulation", "directive", "decision"))
+    return found.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def e_norm_counts(spark, d):
@@ -164,7 +164,7 @@ _SIM = "with c as (select distinct change_id, base_text, target_text from clause
 
 
 SQL = {
-    "e_reference_counts": f"select doc_id, rule as target, k as n from ({_count_rules([(t, p) for _, t, p in ex.REFERENCES])}) where k > 0",
+    "e_reference_counts": r"select doc_id, target, cast(sum(k) as bigint) as n from (select doc_id, 'regulation' as target, len(regexp_extract_all(text, '\b(Regulation|Reg\.)\s+\([A-Z]{2}\)\s+(No\.?\s+)?\d+/\d+')) k from documents union all select doc_id, 'directive', len(regexp_extract_all(text, '\bDirective\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents union all select doc_id, 'decision', len(regexp_extract_all(text, '\bDecision\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents) where k > 0 group by 1, 2",
     "e_norm_counts": f"select rule, cast(sum(k) as bigint) as n, count(*) as n_docs from ({_count_rules([(f'{k}:{f}', p) for k, f, p in ex.NORMS])}) where k > 0 group by 1",
     "e_lines": r"select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) l from documents) where trim(l) <> '' group by 1",
     "e_formats": _formats_sql(),
