@@ -86,22 +86,20 @@ def least_weighted(least: float) -> float:
     return least / (least + (1 - least) * _SPREAD)
 
 
-def sample_values(keys: np.ndarray, weights: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of weighted keys, their value under each of ``hashes`` improved consistent weighted samplings, (keys, hashes),
-    of which a set's least is its sample, and the step of the weight at which it is drawn."""
+def sample_values(keys: np.ndarray, weights: np.ndarray, hashes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``hashes`` improved consistent weighted samplings, the values of weighted keys, of which a set's least
+    is its sample, and the steps of the weights at which they are drawn."""
     log_w = np.log(weights).astype(np.float32)
-    # five uniform numbers for each key and hash: a well-mixed key times an odd number per hash, its upper 24 bits
-    base = [mix64(keys + np.uint64(j)) for j in range(1, 6)]
-    odd = mix64(np.arange(1, 5 * hashes + 1, dtype=np.uint64)).reshape(hashes, 5) | np.uint64(1)
-    unit, shift = np.float32(2.0**-24), np.uint64(40)
-    values, steps = np.empty((hashes, len(keys)), dtype=np.float32), np.empty((hashes, len(keys)), dtype=np.float32)
+    # two uniform numbers from the halves of a well-mixed key times an odd number per hash, three times
+    base = [mix64(keys + np.uint64(j)) for j in range(1, 4)]
+    odd = mix64(np.arange(1, 3 * hashes + 1, dtype=np.uint64)).reshape(hashes, 3) | np.uint64(1)
+    unit = np.float32(2.0**-32)
     for k in range(hashes):
-        u = [((base[j] * odd[k, j]) >> shift).astype(np.float32) * unit + unit / 2 for j in range(5)]
-        r = -np.log(u[0] * u[1])  # Gamma(2, 1)
-        t = np.floor(log_w / r + u[4])
-        values[k] = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
-        steps[k] = t
-    return values, steps
+        u = [((b * o).view(np.uint32).astype(np.float32) + np.float32(0.5)) * unit for b, o in zip(base, odd[k])]
+        r = -np.log(u[0][::2] * u[0][1::2])  # Gamma(2, 1)
+        beta = u[2][1::2]
+        t = np.floor(log_w / r + beta)
+        yield np.log(-np.log(u[1][::2] * u[1][1::2])) - r * (t - beta + 1), t
 
 
 def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
@@ -111,16 +109,15 @@ def consistent_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray
     same weight is drawn alike wherever it stands, so what repeats among the segments is drawn once.
     """
     out = np.empty((len(starts), hashes), dtype=np.uint64)
-    pairs = np.empty(len(keys), dtype=[("key", np.uint64), ("weight", np.float32)])
-    pairs["key"], pairs["weight"] = keys, weights
-    distinct, place = np.unique(pairs, return_inverse=True)
-    values, steps = sample_values(distinct["key"], distinct["weight"], hashes)
-    for k in range(hashes):
-        value = values[k][place]
-        least = np.repeat(np.minimum.reduceat(value, starts), np.diff(np.append(starts, len(keys))))
-        at = np.flatnonzero(value == least)
-        at = place[at[np.searchsorted(at, starts)]]
-        out[:, k] = mix64(distinct["key"][at] + steps[k][at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weights = weights.astype(np.float32)
+    _, first, place = np.unique(keys ^ mix64(weights.view(np.uint32)), return_index=True, return_inverse=True)
+    keys, number = keys[first], np.arange(len(first))
+    for k, (value, step) in enumerate(sample_values(keys, weights[first], hashes)):
+        # the value's order in the upper half of an integer, the key's number in the lower: one minimum gives both
+        bits = value.view(np.int32)
+        ordered = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32 | number
+        at = np.minimum.reduceat(ordered[place], starts) & 0xFFFFFFFF
+        out[:, k] = mix64(keys[at] + step[at].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -159,22 +156,26 @@ def likely_pairs(pairs: DataFrame, sampled: DataFrame, similarity: float, least:
     return pairs.filter(fits & (unequal <= most_unequal(similarity, 32 * _SKETCH, _LOSS))).select("cid_a", "cid_b")
 
 
-def banded_pairs(bands: DataFrame, crowd: int = _CROWD) -> DataFrame:
-    """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band) that share a band.
+def banded_pairs(bands: DataFrame, crowd: int = _CROWD, either: str | None = None) -> DataFrame:
+    """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band) that share a band; with ``either``, a boolean
+    column, only pairs of which it holds for one or both.
 
     Bands of one member are dropped after a map-side count. A band of more than ``crowd`` members is split: each
     task pairs ``crowd`` of them with all.
     """
-    counts = Staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts", crowded=F.count_if(F.col("n") > crowd))
+    holds = F.col(either) if either else F.lit(True)
+    bands = bands.select("cid", "band", holds.alias("holds"))
+    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("holds").alias("any")).filter("n > 1 and any").drop("any")
+    counts = Staged(counts, "counts", crowded=F.count_if(F.col("n") > crowd))
     live = bands.join(counts.df, "band")
-    a, b = (live.select("band", F.col("cid").alias(f"cid_{x}"), "n") for x in "ab")
-    small = a.filter(F.col("n") <= crowd).drop("n").join(b.filter(F.col("n") <= crowd).drop("n"), "band")
-    out = small.filter("cid_a < cid_b").select("cid_a", "cid_b")
+    a, b = (live.select("band", F.col("cid").alias(f"cid_{x}"), F.col("holds").alias(f"holds_{x}"), "n") for x in "ab")
+    pair = "cid_a < cid_b and (holds_a or holds_b)"
+    out = a.filter(F.col("n") <= crowd).drop("n").join(b.filter(F.col("n") <= crowd).drop("n"), "band").filter(pair).select("cid_a", "cid_b")
     if counts.seen["crowded"]:
         parts = F.ceil(F.col("n") / crowd).cast("int")
-        left = a.filter(F.col("n") > crowd).select("band", "cid_a", F.pmod(F.xxhash64("cid_a"), parts).cast("int").alias("part"))
-        right = b.filter(F.col("n") > crowd).select("band", "cid_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        out = out.unionByName(left.join(right, ["band", "part"]).filter("cid_a < cid_b").select("cid_a", "cid_b"))
+        left = a.filter(F.col("n") > crowd).select("band", "cid_a", "holds_a", F.pmod(F.xxhash64("cid_a"), parts).cast("int").alias("part"))
+        right = b.filter(F.col("n") > crowd).select("band", "cid_b", "holds_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        out = out.unionByName(left.join(right, ["band", "part"]).filter(pair).select("cid_a", "cid_b"))
     return out.distinct()
 
 
