@@ -160,22 +160,20 @@ def banded_pairs(bands: DataFrame, crowd: int = _CROWD, either: str | None = Non
     """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band) that share a band; with ``either``, a boolean
     column, only pairs of which it holds for one or both.
 
-    Bands of one member are dropped after a map-side count. A band of more than ``crowd`` members is split: each
-    task pairs ``crowd`` of them with all.
+    A band of more than ``crowd`` members, found by a map-side count, is split: each task pairs ``crowd`` of them with all.
     """
-    holds = F.col(either) if either else F.lit(True)
-    bands = bands.select("cid", "band", holds.alias("holds"))
-    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("holds").alias("any")).filter("n > 1 and any").drop("any")
-    counts = Staged(counts, "counts", crowded=F.count_if(F.col("n") > crowd))
-    live = bands.join(counts.df, "band")
-    a, b = (live.select("band", F.col("cid").alias(f"cid_{x}"), F.col("holds").alias(f"holds_{x}"), "n") for x in "ab")
-    pair = "cid_a < cid_b and (holds_a or holds_b)"
-    out = a.filter(F.col("n") <= crowd).drop("n").join(b.filter(F.col("n") <= crowd).drop("n"), "band").filter(pair).select("cid_a", "cid_b")
-    if counts.seen["crowded"]:
-        parts = F.ceil(F.col("n") / crowd).cast("int")
-        left = a.filter(F.col("n") > crowd).select("band", "cid_a", "holds_a", F.pmod(F.xxhash64("cid_a"), parts).cast("int").alias("part"))
-        right = b.filter(F.col("n") > crowd).select("band", "cid_b", "holds_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        out = out.unionByName(left.join(right, ["band", "part"]).filter(pair).select("cid_a", "cid_b"))
+    bands = bands.select("cid", "band", *([F.col(either).alias("holds")] if either else []))
+    pair = "cid_a < cid_b" + (" and (holds_a or holds_b)" if either else "")
+    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in ("cid", "holds") if c in df.columns})
+    crowds = Staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd), "crowds", n=F.count(F.lit(1)))
+    if not crowds.seen["n"]:
+        return side(bands, "a").join(side(bands, "b"), "band").filter(pair).select("cid_a", "cid_b").distinct()
+    few = bands.join(crowds.df, "band", "left_anti")
+    out = side(few, "a").join(side(few, "b"), "band").filter(pair).select("cid_a", "cid_b")
+    many, parts = bands.join(crowds.df, "band"), F.ceil(F.col("n") / crowd).cast("int")
+    left = side(many.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).drop("n"), "a")
+    right = side(many.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"), "b")
+    out = out.unionByName(left.join(right, ["band", "part"]).filter(pair).select("cid_a", "cid_b"))
     return out.distinct()
 
 
