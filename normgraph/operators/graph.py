@@ -104,7 +104,11 @@ class TripleGraph:
 
     def stats(self) -> DataFrame:
         """One row: triples, and distinct subjects, predicates and objects."""
-        return self.triples.agg(F.count(F.lit(1)).alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"), F.countDistinct("o").alias("objects"))
+        # each count by itself: the columns it does not need are not read, and no row is copied for the others
+        out = self.triples.agg(F.count(F.lit(1)).alias("triples"))
+        for c, name in (("s", "subjects"), ("p", "predicates"), ("o", "objects")):
+            out = out.crossJoin(self.df.select(c).distinct().agg(F.count(F.lit(1)).alias(name)))  # one row each
+        return out
 
     def counts(self, position: str) -> DataFrame:
         """Triples per subject, predicate or object."""

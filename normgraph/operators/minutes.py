@@ -97,4 +97,9 @@ def swimlanes(events: DataFrame, by: str, at: str = "ts") -> DataFrame:
     kind = dict(events.dtypes)[by]
     lane = F.explode(F.array_distinct(by)) if kind.startswith("array") else F.col(by)
     e = events.withColumn("lane", lane).filter("trim(lane) <> ''")
-    return e.withColumn("place", F.row_number().over(Window.partitionBy("lane").orderBy(at, *[c for c in ("event_uri", "event_id") if c in events.columns])))
+    # a lane may hold most events: they are numbered within months, after what the months before hold
+    e = e.withColumn("\x01m", F.date_trunc("month", F.coalesce(at, F.lit("0001-01-01").cast("timestamp"))))
+    ahead = F.sum("n").over(Window.partitionBy("lane").orderBy("\x01m").rowsBetween(Window.unboundedPreceding, -1))
+    before = e.groupBy("lane", "\x01m").agg(F.count(F.lit(1)).alias("n")).select("lane", "\x01m", F.coalesce(ahead, F.lit(0)).alias("\x01b"))
+    within = F.row_number().over(Window.partitionBy("lane", "\x01m").orderBy(at, *[c for c in ("event_uri", "event_id") if c in events.columns]))
+    return e.withColumn("\x01w", within).join(before, ["lane", "\x01m"]).withColumn("place", (F.col("\x01w") + F.col("\x01b")).cast("int")).drop("\x01m", "\x01w", "\x01b")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normgraph.operators.graph import TripleGraph
-from normgraph.staging import Staged, stage
+from normgraph.staging import Staged, hot_split_join, stage
 
 _FIRST_IN = ("reg:references",)
 _FIRST_IN_REVERSED = ("reg:referencedBy",)
@@ -132,21 +132,79 @@ def components(arcs: DataFrame) -> DataFrame:
 
     Labels spread by minimum over arcs and jump to the label's own label, so that
     long chains take the logarithm of their length. Nodes with null are ignored.
+    Nodes with more than a thousandth of all arcs hand out their label by broadcast.
     """
     both = arcs.select("x", "y").unionByName(arcs.select(F.col("y").alias("x"), F.col("x").alias("y"))).dropna()
-    both = stage(both.distinct(), "arcs")
-    label = Staged(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("component")), "label")
+    both = Staged(both.distinct(), "arcs", n=F.count(F.lit(1)))
+    hot_rows = max(1000, both.seen["n"] // 1000)
+    first = both.df.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("component"), F.count(F.lit(1)).alias("degree"))
+    label = Staged(first, "label", hot=F.count_if(F.col("degree") > hot_rows))
+    n_hot = label.seen["hot"]
     while True:
         now = label.df
-        near = both.join(now.select(F.col("node").alias("y"), F.col("component").alias("c")), "y").groupBy("x").agg(F.min("c").alias("near"))
-        step = now.join(near, now["node"] == near["x"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jumped = step.join(step.select(F.col("node").alias("mid"), F.col("mid").alias("further")), "mid").select("node", "old", F.col("further").alias("component"))
-        new = Staged(jumped, "label")
-        changed = bool(new.df.filter("old <> component").take(1))
+        near = hot_split_join(both.df, now.select(F.col("node").alias("y"), F.col("component").alias("c"), "degree"), ["y"], "degree", hot_rows, n_hot=n_hot).groupBy("x").agg(F.min("c").alias("near"))
+        step = Staged(now.join(near, now["node"] == near["x"]).select("node", "degree", F.col("component").alias("old"), F.least("component", "near").alias("mid")), "step")
+        # a label that most nodes have is one key: its label is looked up once for each node that is a label
+        marks = step.df.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).join(step.df.select(F.col("node").alias("mid"), F.col("mid").alias("further")), "mid")
+        jumped = hot_split_join(step.df, marks, ["mid"], "n", hot_rows).select("node", "degree", "old", F.col("further").alias("component"))
+        new = Staged(jumped, "label", changed=F.count_if(F.col("old") != F.col("component")))
         label.drop()
+        step.drop()
         label = new
-        if not changed:
-            return label.df.select("node", "component")
+        if not new.seen["changed"]:
+            both.drop()
+            return new.df.select("node", "component")
+
+
+def _trimmed(arcs: Staged) -> Staged:
+    """Arcs without those of nodes that have no arc in or none out, again and again."""
+    while True:
+        d = arcs.df
+        kept = d.join(d.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(d.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
+        new = Staged(kept.select("x", "y"), "loop", n=F.count(F.lit(1)))
+        arcs.drop()
+        if new.seen["n"] == arcs.seen["n"]:
+            return new
+        arcs = new
+
+
+def loops(arcs: DataFrame) -> DataFrame:
+    """(node, loop) of a directed graph of arcs (x, y): the nodes on loops, each with the greatest node that it reaches and that reaches it.
+
+    The greatest node that reaches a node is its colour; of each colour, what leads back to the node that named it
+    is one loop. The rest is coloured again.
+    """
+    spark = arcs.sparkSession
+    now = _trimmed(Staged(arcs.select("x", "y").dropna().distinct(), "loop", n=F.count(F.lit(1))))
+    found: DataFrame | None = None
+    while now.seen["n"]:
+        d = now.df
+        colour = Staged(d.select(F.col("x").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        while True:
+            near = d.join(colour.df.withColumnRenamed("node", "x"), "x").groupBy(F.col("y").alias("node")).agg(F.max("colour").alias("near"))
+            new = Staged(colour.df.join(near, "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", "near").alias("colour")), "colour", changed=F.count_if(F.col("old") != F.col("colour")))
+            colour.drop()
+            colour = new
+            if not new.seen["changed"]:
+                break
+        c = colour.df.select("node", "colour")
+        same = Staged(d.join(c.select(F.col("node").alias("x"), "colour"), "x").join(c.select(F.col("node").alias("y"), "colour"), ["y", "colour"]), "same")
+        back = Staged(c.filter("node = colour"), "back")
+        fresh = back.df
+        while True:
+            more = same.df.join(fresh.withColumnRenamed("node", "y"), ["y", "colour"]).select(F.col("x").alias("node"), "colour").distinct().join(back.df, ["node", "colour"], "left_anti")
+            step = Staged(more, "back", n=F.count(F.lit(1)))
+            if not step.seen["n"]:
+                break
+            back, fresh = Staged(back.df.unionByName(step.df), "back"), step.df
+        # a node alone is on a loop only by an arc to itself
+        own = same.df.filter("x = y").select(F.col("x").alias("node"), F.lit(True).alias("own"))
+        sizes = back.df.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
+        part = stage(back.df.join(sizes, "colour").join(own, "node", "left").filter("n > 1 or own").select("node", F.col("colour").alias("loop")), "loops")
+        found = part if found is None else found.unionByName(part)
+        left = same.df.select("x", "y").join(back.df.select(F.col("node").alias("x")), "x", "left_anti").join(back.df.select(F.col("node").alias("y")), "y", "left_anti")
+        now = _trimmed(Staged(left, "loop", n=F.count(F.lit(1))))
+    return found if found is not None else spark.createDataFrame([], f"node {arcs.schema['x'].dataType.simpleString()}, loop {arcs.schema['x'].dataType.simpleString()}")
 
 
 def on_loops(arcs: DataFrame) -> DataFrame:
@@ -154,18 +212,8 @@ def on_loops(arcs: DataFrame) -> DataFrame:
 
     Nodes without an arc in or without an arc out are taken away until none is left to take.
     """
-    now = Staged(arcs.select("x", "y").dropna().distinct(), "loop")
-    n = now.df.count()
-    while True:
-        d = now.df
-        kept = d.join(d.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(d.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x", "y")
-        new = Staged(kept, "loop")
-        m = new.df.count()
-        now.drop()
-        now = new
-        if m == n:
-            return now.df.select(F.col("x").alias("node")).distinct()
-        n = m
+    kept = _trimmed(Staged(arcs.select("x", "y").dropna().distinct(), "loop", n=F.count(F.lit(1))))
+    return kept.df.select(F.col("x").alias("node")).distinct()
 
 
 def chain_to_root(links: DataFrame, start: str, most: int = 1000) -> DataFrame:

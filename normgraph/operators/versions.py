@@ -39,17 +39,43 @@ def as_of(rows: DataFrame, versions: DataFrame, at: Column, columns: Sequence[st
     return rows
 
 
-def as_of_join(events: DataFrame, versions: DataFrame, subject: str, at: str) -> DataFrame:
-    """Each event with the version of its subject at its time (null without one): a join on subject and range.
+def as_of_join(events: DataFrame, versions: DataFrame, subject: str, at: str, chunk: str = "month") -> DataFrame:
+    """Each event with the version of its subject at its time and its valid_from, nulls without one.
 
-    Where several versions hold, the latest by valid_from, then by number.
+    Where several versions hold, the latest by valid_from, then by number. Subjects whose versions do not overlap,
+    the usual case, need no join: versions and events stand in one order of time, and the last version begun is
+    carried to the events after it, in chunks of time, so that a subject with very many events takes many tasks. For
+    other subjects, events join the versions that hold.
     """
-    e = events.withColumn("\x01id", F.monotonically_increasing_id())
-    v = versions.select(F.col("subject").alias("\x01s"), "version", "valid_from", "valid_until")
-    on = (F.col(subject) == F.col("\x01s")) & (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | (F.col(at) < F.col("valid_until")))
-    j = e.join(v, on, "left")
-    w = Window.partitionBy("\x01id").orderBy(F.desc("valid_from"), F.desc("version"))
-    return j.withColumn("\x01r", F.row_number().over(w)).filter(F.col("\x01r") == 1).drop("\x01r", "\x01id", "\x01s", "valid_until")
+    v = versions.select(F.col("subject").cast("string").alias("\x01s"), "version", "valid_from", "valid_until").filter("valid_from is not null")
+    nxt = F.lead("valid_from").over(Window.partitionBy("\x01s").orderBy("valid_from", "version"))
+    meets = nxt.isNotNull() & (F.col("valid_until").isNull() | (F.col("valid_until") > nxt))
+    tangled = v.withColumn("meets", meets).filter("meets").select("\x01s").distinct()
+    e = events.withColumn("\x01s", F.col(subject).cast("string"))
+    simple, rest = e.join(tangled, "\x01s", "left_anti"), e.join(tangled, "\x01s", "left_semi")
+
+    held = F.struct("version", "valid_from", "valid_until").alias("\x01v")
+    row = F.struct(*events.columns).alias("\x01e")
+    begun = v.join(tangled, "\x01s", "left_anti").select("\x01s", F.col("valid_from").alias("\x01t"), F.lit(0).alias("\x01k"), held).withColumn("\x01e", F.lit(None).cast(simple.select(row).schema[0].dataType))
+    asked = simple.select("\x01s", F.col(at).alias("\x01t"), F.lit(1).alias("\x01k"), F.lit(None).cast(begun.schema["\x01v"].dataType).alias("\x01v"), row)
+    line = begun.unionByName(asked).withColumn("\x01c", F.date_trunc(chunk, F.coalesce("\x01t", F.lit("0001-01-01").cast("timestamp"))))
+    last = line.filter("`\x01k` = 0").groupBy("\x01s", "\x01c").agg(F.max("\x01v.valid_from").alias("f"), F.max_by("\x01v", F.struct("\x01v.valid_from", "\x01v.version")).alias("\x01b"))
+    chunks = line.select("\x01s", "\x01c").distinct().join(last, ["\x01s", "\x01c"], "left")
+    order = Window.partitionBy("\x01s").orderBy("\x01c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select("\x01s", "\x01c", F.last("\x01b", ignorenulls=True).over(order).alias("\x01p"))
+    w = Window.partitionBy("\x01s", "\x01c").orderBy("\x01t", "\x01k", F.col("\x01v.version")).rowsBetween(Window.unboundedPreceding, 0)
+    run = line.withColumn("\x01n", F.last("\x01v", ignorenulls=True).over(w)).filter("`\x01k` = 1").join(carried, ["\x01s", "\x01c"], "left")
+    run = run.withColumn("\x01n", F.coalesce("\x01n", "\x01p"))
+    holds = F.col("\x01t").isNotNull() & (F.col("\x01n.valid_until").isNull() | (F.col("\x01t") < F.col("\x01n.valid_until")))
+    fine = run.select("\x01e.*", *[F.when(holds, F.col(f"\x01n.{c}")).alias(c) for c in ("version", "valid_from")])
+    # a null subject has no versions and is not in the order above
+    none = e.filter("`\x01s` is null").drop("\x01s").withColumns({c: F.lit(None).cast(versions.schema[c].dataType) for c in ("version", "valid_from")})
+    fine = fine.filter(F.col(subject).isNotNull()).unionByName(none)
+
+    on = (rest["\x01s"] == v["\x01s"]) & (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | (F.col(at) < F.col("valid_until")))
+    j = rest.withColumn("\x01id", F.monotonically_increasing_id()).join(v, on, "left")
+    best = j.groupBy("\x01id", *events.columns).agg(F.max(F.struct("valid_from", "version")).alias("\x01b"))
+    return fine.unionByName(best.select(*events.columns, F.col("\x01b.version").alias("version"), F.col("\x01b.valid_from").alias("valid_from")))
 
 
 def changes_between(versions: DataFrame, after: Column, until: Column) -> DataFrame:
@@ -96,13 +122,20 @@ def compare_versions(triples: DataFrame, a: str, b: str) -> DataFrame:
     return t.withColumn("change", change).filter("change is not null").select("p", "change", "old", "new")
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], bounds: tuple[str, str] = ("start_date", "end_date")) -> DataFrame:
-    """Pairs of closed ranges of the same keys that overlap; a null end is open. Columns of ``b`` get the prefix b_."""
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], bounds: tuple[str, str] = ("start_date", "end_date"), crowd: int = 2000) -> DataFrame:
+    """Pairs of closed ranges of the same keys that overlap; a null end is open. Columns of ``b`` get the prefix b_.
+
+    Ranges of ``a`` of a key with more than ``crowd`` of them spread over several tasks, to each of which those of ``b`` are copied.
+    """
     s, e = bounds
-    b = b.withColumnsRenamed({c: f"b_{c}" for c in b.columns})
-    on = None
+    parts = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("\x01n")).filter(F.col("\x01n") > 1)
+    spread = lambda df, part: df.join(parts, list(keys), "left").withColumn("\x01p", part).drop("\x01n")
+    n = F.coalesce(F.col("\x01n"), F.lit(1))
+    left = spread(a, F.pmod(F.xxhash64(*a.columns), n).cast("int"))
+    right = spread(b, F.explode(F.sequence(F.lit(0), n - 1))).withColumnsRenamed({c: f"b_{c}" for c in b.columns} | {"\x01p": "\x01q"})
+    on = left["\x01p"] == right["\x01q"]
     for k in keys:
-        fits = a[k] == b[f"b_{k}"]
-        on = fits if on is None else on & fits
+        on = on & (left[k] == right[f"b_{k}"])
     open_end = F.lit("9999-12-31").cast("date")
-    return a.join(b, on & (F.col(s) <= F.coalesce(F.col(f"b_{e}"), open_end)) & (F.col(f"b_{s}") <= F.coalesce(F.col(e), open_end)))
+    both = left.join(right, on & (F.col(s) <= F.coalesce(F.col(f"b_{e}"), open_end)) & (F.col(f"b_{s}") <= F.coalesce(F.col(e), open_end)))
+    return both.select(*a.columns, *[f"b_{c}" for c in b.columns])

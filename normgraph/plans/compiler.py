@@ -75,14 +75,11 @@ def _join(left: DataFrame, right: DataFrame, how: str, nullable: set[str]) -> Da
         return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
     if not loose:
         return left.join(right, shared, how)
-    named = right.withColumnsRenamed({c: f"\x01{c}" for c in shared})
-    on = None
-    for c in shared:
-        fits = F.col(c) == F.col(f"\x01{c}")
-        fits = F.col(c).isNull() | fits if c in loose else fits
-        on = fits if on is None else on & fits
-    out = left.join(named, on, how)
-    return out.select(*[F.coalesce(F.col(c), F.col(f"\x01{c}")).alias(c) if c in loose else F.col(c) for c in out.columns if not c.startswith("\x01")])
+    # rows in which the variable is bound join on it; the others take its value from the right
+    c, rest = loose[0], nullable - {loose[0]}
+    bound = _join(left.filter(F.col(c).isNotNull()), right, how, rest)
+    unbound = _join(left.filter(F.col(c).isNull()).drop(c), right, how, rest)
+    return bound.unionByName(unbound)
 
 
 class Compiler:
