@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normgraph.operators import extraction, traversal
+from normgraph.operators import extraction, traversal, versions
 from normgraph.operators.graph import TripleGraph
 from normgraph.plans import templates
 from normgraph.sources import files, rdf
@@ -58,6 +58,24 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("ingest", help="text files to a library")
     p.add_argument("texts")
     p.add_argument("library")
+    for name, text in (("refs", "references of text files"), ("search", "text files that hold words")):
+        p = sub.add_parser(name, help=text)
+        p.add_argument("texts")
+        p.add_argument("words", nargs="*")
+        p.add_argument("--form", default="table")
+        p.add_argument("--out")
+    p = sub.add_parser("library", help="list, stats, query or remove documents of a library")
+    p.add_argument("action", choices=("list", "stats", "query", "remove"))
+    p.add_argument("library")
+    p.add_argument("what", nargs="*", help="a query, or names of documents")
+    p.add_argument("--form", default="table")
+    p.add_argument("--out")
+    p = sub.add_parser("compare", help="predicates in which two subjects of a graph differ")
+    p.add_argument("graph")
+    p.add_argument("a")
+    p.add_argument("b")
+    p.add_argument("--form", default="table")
+    p.add_argument("--out")
     sub.add_parser("templates")
     a = parser.parse_args(argv)
     if a.command == "templates":
@@ -69,7 +87,22 @@ def main(argv: list[str] | None = None) -> int:
         triples = extraction.provision_triples(docs, F.col("doc"), "doc").withColumn("doc", F.split_part("s", F.lit(":"), F.lit(1)))
         Library(spark, a.library).add(triples)
         return 0
+    if a.command in ("refs", "search"):
+        docs = files.read_texts(spark, a.texts)
+        found = extraction.references(docs, "path").drop("levels") if a.command == "refs" else extraction.keyword_search(docs, a.words, key="path").orderBy(F.desc("score"), "path")
+        _show(found, a.form, a.out)
+        return 0
+    if a.command == "library":
+        lib = Library(spark, a.library)
+        if a.action == "remove":
+            lib.remove(*a.what)
+        else:
+            _show({"list": lambda: lib.documents().drop("tags"), "stats": lib.stats, "query": lambda: lib.graph().query(" ".join(a.what))}[a.action](), a.form, a.out)
+        return 0
     g = _load(spark, a.graph)
+    if a.command == "compare":
+        _show(versions.compare_versions(g.triples, a.a, a.b), a.form, a.out)
+        return 0
     if a.command == "query":
         text = templates.render(a.query, **dict(s.split("=", 1) for s in a.set)) if a.query in templates.TEMPLATES else a.query
         _show(g.query(text, compat=a.compat), a.form, a.out)

@@ -72,6 +72,47 @@ def day(c: Column) -> Column:
     return F.coalesce(F.try_to_date(c, "d MMMM yyyy"), F.try_to_date(c, "MMMM d, yyyy"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+def relative_day(c: Column, base: Column) -> Column:
+    """Date of texts such as 'tomorrow', 'next week', 'in 3 days' or '2 weeks ago', counted from ``base``; null for others."""
+    t = F.lower(F.trim(c))
+    n = F.regexp_extract(t, r"(\d+)\s+(?:day|week)s?", 1).try_cast("int") * F.when(t.rlike(r"\bweeks?\b"), 7).otherwise(1)
+    return (
+        F.when(t == "today", base).when(t == "tomorrow", F.date_add(base, 1)).when(t == "yesterday", F.date_add(base, -1)).when(t == "next week", F.date_add(base, 7)).when(t == "next month", F.add_months(base, 1))
+        .when(t.rlike(r"^in \d+ (day|week)s?$"), F.date_add(base, n)).when(t.rlike(r"^\d+ (day|week)s? ago$"), F.date_add(base, -n))
+    )
+
+
+def snippet(text: Column, start: Column, end: Column, around: int = 50) -> Column:
+    """What stands within ``around`` characters of a place, blanks collapsed, with an ellipsis where the text goes on."""
+    low, high = F.greatest(start - around, F.lit(0)), F.least(end + around, F.length(text))
+    part = F.trim(F.regexp_replace(F.substring(text, low.cast("int") + 1, (high - low).cast("int")), r"\s+", " "))
+    return F.concat(F.when(low > 0, "…").otherwise(""), part, F.when(high < F.length(text), "…").otherwise(""))
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes in the largest unit that it reaches, with one digit after the point: 1.5 KB."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def seconds_text(s: Column) -> Column:
+    """A number of seconds as 1h 02m 03s, without leading units that are none."""
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h.cast("long"), m.cast("long"), r.cast("long"))).when(m > 0, F.format_string("%dm %02ds", m.cast("long"), r.cast("long"))).otherwise(F.format_string("%ds", r.cast("long")))
+
+
+def clause_order(c: Column) -> Column:
+    """Sort key of clause numbers: the leading number, then the rest as text; texts without a number come last."""
+    n = F.regexp_extract(c, r"^(\d+)", 1).try_cast("long")
+    return F.struct(F.coalesce(n, F.lit(2**62)).alias("number"), F.regexp_extract(c, r"^\d*(.*)$", 1).alias("rest"))
+
+
 def html_text(c: Column) -> Column:
     """Text of HTML: scripts and tags dropped, blocks as lines, the common entities resolved."""
     for pattern, to in (

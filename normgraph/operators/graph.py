@@ -168,6 +168,6 @@ def compact_uris(df: DataFrame, columns: Iterable[str] | None = None, namespaces
         e = F.col(f"`{c}`")
         out = e
         for short, full in sorted(namespaces.items(), key=lambda x: len(x[1])):
-            out = F.when(e.startswith(full), F.concat(F.lit(f"{short}:"), F.substring(e, len(full) + 1, 1_000_000))).otherwise(out)
+            out = F.when(e.startswith(full), F.concat(F.lit(f"{short}:"), e.substr(F.lit(len(full) + 1), F.length(e)))).otherwise(out)
         df = df.withColumn(c, out)
     return df

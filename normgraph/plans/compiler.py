@@ -183,7 +183,9 @@ class Compiler:
             return F.countDistinct(filled) if a.distinct else F.count(filled)
         n = number(v)
         if a.function in ("SUM", "AVG"):
-            f = F.sum_distinct(n) if a.distinct and a.function == "SUM" and not self.compat else (F.sum(n) if a.function == "SUM" else F.avg(n))
+            once = a.distinct and not self.compat
+            total = F.sum_distinct(n) if once else F.sum(n)
+            f = total if a.function == "SUM" else total / (F.countDistinct(n) if once else F.count(n))
             return F.coalesce(f, F.lit(0.0))
         # numbers where every value is one, else text in code-point order
         pick = F.min_by if a.function == "MIN" else F.max_by

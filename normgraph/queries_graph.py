@@ -126,7 +126,7 @@ def d_reference_clusters(spark, d):
 def d_matrix(spark, d):
     l, o, c, s = (_t(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier"))
     pairs = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, l["l_suppkey"] == s["s_suppkey"]).select(F.col("c_nationkey").cast("string").alias("source"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("t"), "s_nationkey", "c_nationkey").filter("s_nationkey <> c_nationkey")
-    return docs.reference_matrix(pairs, "source", "t", [f"n{k}" for k in range(5)])
+    return docs.reference_matrix(pairs, "source", "t", [f"n{k}" for k in range(25)])
 
 
 def d_margins(spark, d):
@@ -249,7 +249,7 @@ SQL = {
     "d_overlaps": "select trim(object) as concept, count(distinct document) as n_docs, cast(sum(n) as bigint) as n_provisions from (select trim(object) object, document, count(distinct subject) n from triples where predicate in ('reg:number', 'https://norms.example/ontology#number') and trim(object) <> '' group by 1, 2) group by 1 having count(distinct document) >= 2",
     "d_compare": "select concept, case when x and y then 'shared' when x then 'a' else 'b' end as side from (select trim(object) concept, bool_or(document = 'zz-lib-00000') x, bool_or(document = 'zz-lib-00001') y from triples where predicate = 'reg:term' and trim(object) <> '' and document in ('zz-lib-00000', 'zz-lib-00001') group by 1)",
     "d_reference_clusters": r"select trim(regexp_replace(lower(ref_text), '\s+', ' ', 'g')) as target, count(*) as n, count(distinct document) as n_documents from external_refs where trim(regexp_replace(lower(ref_text), '\s+', ' ', 'g')) <> '' group by 1",
-    "d_matrix": "select cast(c_nationkey as varchar) as source, " + ", ".join(f"count(*) filter (where s_nationkey = {k}) as n{k}" for k in range(5)) + " from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey group by 1",
+    "d_matrix": "select cast(c_nationkey as varchar) as source, " + ", ".join(f"count(*) filter (where s_nationkey = {k}) as n{k}" for k in range(25)) + " from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey group by 1",
     "d_margins": "select rule, cast(sum(a) as bigint) as n_out, cast(sum(b) as bigint) as n_in from (select base_version rule, 1 a, 0 b from clause_changes where base_version <> target_version union all select target_version, 0, 1 from clause_changes where base_version <> target_version) group by 1",
     "d_summary": "select document as doc, count(*) as n_triples, count(distinct subject) as n_subjects, count(*) filter (where predicate = 'rdf:type' and object = 'reg:Article') as n_articles, count(*) filter (where predicate = 'rdf:type' and object = 'reg:Chapter') as n_chapters, count(*) filter (where predicate = 'reg:references') as n_references, count(*) filter (where predicate = 'reg:term') as n_terms, count(*) filter (where predicate = 'reg:partOf') as n_parts from triples group by 1",
     "d_version_diff": "with c as (select base_version v, rule_no, clause, max(clause_title) t from clause_changes where rule_no is not null and clause is not null group by 1, 2, 3), a as (select * from c where v = '114th'), b as (select * from c where v = '115th') select rule_no, clause, case when a.v is null then 'added' when b.v is null then 'removed' else 'modified' end as change, a.t as before, b.t as after from a full join b using (rule_no, clause) where a.v is null or b.v is null or a.t is distinct from b.t",

@@ -127,6 +127,13 @@ SQL = {
     "r_keywords": "with w as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) l from documents where text is not null), h as (select doc_id, unnest([{'w': 'levy', 'x': 2.0}, {'w': 'permit', 'x': 1.0}, {'w': 'safeguard', 'x': 3.0}], recursive := true), l from w) select doc_id, count(*) as n_keywords, cast(sum(x) as double) as score from h where list_contains(l, w) group by 1",
     "c_citations": "select o_orderkey as doc_id, 'eu' as jurisdiction, 'regulation' as type, 'urn:eu:regulation:2016/' || o_custkey as urn, 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32016R' || lpad(cast(o_custkey as varchar), 4, '0') as address, 1.0::double as confidence from orders union all select o_orderkey, 'us', 'usc', 'urn:us:usc:' || (o_orderkey % 50 + 1) || '/' || o_orderkey, 'https://uscode.house.gov/view.xhtml?req=granuleid:USC-prelim-title' || (o_orderkey % 50 + 1) || '-section' || o_orderkey, 1.0::double from orders",
     "m_heads": r"with l as (select doc_id, unnest(range(len(x))) n, unnest(x) as line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') x from documents where text is not null)), h as (select doc_id, n, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 1) field, regexp_extract(trim(line), '^(\w+):\s*(.+)$', 2) value from l) select doc_id, field, arg_min(value, n) as value from h where field in ('Date', 'Time', 'Location', 'Chair', 'Secretary', 'Present', 'Apologies', 'Absent') group by 1, 2",
+    "m_parts": r"""with d as (select text from documents where text is not null), n as (select
+sum(len(regexp_extract_all(text, '(?m)^\s*(?:Item\s+)?\d{1,2}[.:)]\s+[A-Z][^\n]{2,}$'))) a,
+sum(len(regexp_extract_all(text, '(?m)^\s*(?:(?:Mr|Ms|Mrs|Dr|Prof)\.\s+[A-Z][\w.'' -]+?|The\s+(?:Chair|Rapporteur|Secretariat)|[A-Z][A-Z'' -]{2,40})(?:\s+\([^)]+\))?:\s+\S[^\n]*'))) b,
+sum(len(regexp_extract_all(text, '(?i)\b(?:it\s+was\s+)?(?:decided|agreed|resolved|adopted|approved|rejected|deferred)\b\s*(?:that|to|on|:)?\s*[^\n.]{3,}'))) c,
+sum(len(regexp_extract_all(text, '(?i)\baction(?:\s+item)?s?\s*:\s*[^\n]+'))) e,
+sum(len(regexp_extract_all(text, '(?i)\b\d+\s+(?:votes?\s+)?(?:in\s+favou?r|for)\b[^\d\n]{1,20}\d+\s+(?:votes?\s+)?against\b(?:[^\d\n]{1,20}\d+\s+abst\w*)?'))) f from d)
+select kind, cast(k as bigint) as n from (select unnest(['agenda', 'speaker', 'decision', 'action', 'vote']) kind, unnest([a, b, c, e, f]) k from n) where k > 0""",
     "m_swimlanes": "with e as (select distinct on (event_uri) event_uri, ts, event_type from (select unnest(lane_events, recursive := true) from (select distinct on (lane_id) * from swimlanes)) ) select event_type as lane, cast(row_number() over (partition by event_type order by ts, event_uri) as int) as place, event_uri from e where trim(event_type) <> ''",
     "m_rule_differences": "with c as (select base_version v, rule_no as rule, clause, max(base_text) t from clause_changes where rule_no is not null and clause is not null group by 1, 2, 3), a as (select * from c where v = '114th'), b as (select * from c where v = '115th') select rule, clause, case when a.v is null then 'added' when b.v is null then 'removed' else 'modified' end as change from a full join b using (rule, clause) where a.v is null or b.v is null or a.t is distinct from b.t",
     "x_eli": _N

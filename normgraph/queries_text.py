@@ -167,6 +167,14 @@ SQL = {
     "e_reference_counts": r"select doc_id, target, cast(sum(k) as bigint) as n from (select doc_id, 'regulation' as target, len(regexp_extract_all(text, '\b(Regulation|Reg\.)\s+\([A-Z]{2}\)\s+(No\.?\s+)?\d+/\d+')) k from documents union all select doc_id, 'directive', len(regexp_extract_all(text, '\bDirective\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents union all select doc_id, 'decision', len(regexp_extract_all(text, '\bDecision\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents) where k > 0 group by 1, 2",
     "e_norm_counts": f"select rule, cast(sum(k) as bigint) as n, count(*) as n_docs from ({_count_rules([(f'{k}:{f}', p) for k, f, p in ex.NORMS])}) where k > 0 group by 1",
     "e_lines": r"select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) l from documents) where trim(l) <> '' group by 1",
+    "e_provisions": r"""with l as (select doc_id, unnest(range(len(x))) n, unnest(x) line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') x from documents where text is not null)),
+t as (select doc_id, n, trim(line) line from l where trim(line) <> ''),
+h as (select *, regexp_extract(line, '^\s*(?:PART|TITLE|Title|TITRE|TÍTULO)\s+([IVXLC]+|\d+)\b', 1) p, regexp_extract(line, '^\s*(?:CHAPTER|Chapter|RULE|KAPITEL|CHAPITRE)\s+([IVXLC]+|\d+\w*)\b', 1) c, regexp_extract(line, '^\s*(?:Section|SECTION|SEC\.|§)\s+(\d+(?:[.-]\d+)*\w?)', 1) s, regexp_extract(line, '^\s*(?:Article|ARTICLE|Artikel|Artículo)\s+(\d+)\s*$', 1) a from t),
+r as (select *, case when p <> '' then 0 when c <> '' then 1 when s <> '' then 2 when a <> '' then 3 end k from h),
+w as (select *, arg_max(p, n) filter (where k = 0) over u p_, max(n) filter (where k < 1) over u b1, max(n) filter (where k < 2) over u b2, max(n) filter (where k < 3) over u b3, arg_max(c, n) filter (where k = 1) over u c_, max(n) filter (where k = 1) over u cn, arg_max(s, n) filter (where k = 2) over u s_, max(n) filter (where k = 2) over u sn, arg_max(a, n) filter (where k = 3) over u a_, max(n) filter (where k = 3) over u an from r window u as (partition by doc_id order by n rows unbounded preceding))
+select doc_id, p_ as part, case when b1 is null or cn > b1 then c_ end as chapter, case when b2 is null or sn > b2 then s_ end as section, case when b3 is null or an > b3 then a_ end as article, count(*) as n_lines from w group by all""",
+    "e_term_usage": r"with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), '  ') || ' ' w from documents where text is not null), t as (select unnest(['safeguard clause', 'transfer mechanism', 'appeal procedure', 'draft text', 'quorum', 'retention period']) as term) select doc_id, term, len(regexp_extract_all(w, ' ' || replace(term, ' ', '  ') || 's? ')) as n from d, t where len(regexp_extract_all(w, ' ' || replace(term, ' ', '  ') || 's? ')) > 0",
+    "f_roman": "with g as (select n, repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] r from (select unnest(range(1, 4000)) n)) select rule_no, cast(n as int) as value from (select distinct rule_no from clause_changes) left join g on upper(trim(rule_no)) = r",
     "e_formats": _formats_sql(),
     "e_search": r"select doc_id, cast(10 * (len(regexp_extract_all(lower(text), '\bsafeguard\b')) + len(regexp_extract_all(lower(text), '\blevy\b'))) + 2 * (len(regexp_extract_all(lower(text), '\bpermit\b')) + len(regexp_extract_all(lower(text), '\bwaiver\b'))) as bigint) as score from documents where regexp_matches(lower(text), '\b(safeguard|levy|permit|waiver)\b')",
     "e_rules_diff": _SIM + "select change_id, similarity, case when similarity >= 80 then 'minor' when similarity >= 60 then 'moderate' when similarity >= 40 then 'substantial' when length(b) > 2 * length(a) then 'expanded' when length(a) > 2 * length(b) then 'condensed' else 'rewrite' end as label from s",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.operators.graph import TripleGraph
+from normgraph.staging import Staged, _file_system
 
 _MANIFEST = "doc string, jurisdiction string, format string, tags array<string>, status string, n_triples long"
 
@@ -28,6 +29,36 @@ class Library:
         made = self.load(None).groupBy("doc").agg(F.count(F.lit(1)).alias("n_triples")).join(g.select("doc").distinct(), "doc", "left_semi")
         self._entries(made.select("doc", F.lit(jurisdiction).alias("jurisdiction"), F.lit(form).alias("format"), F.array(*map(F.lit, tags)).cast("array<string>").alias("tags"), F.lit("ready").alias("status"), "n_triples"))
 
+    def ingest(self, documents: DataFrame, to_triples, force: bool = False, **kind) -> None:
+        """Store the texts (doc, text) of documents and the triples (s, p, o, doc) that ``to_triples`` makes of them.
+
+        Documents that are ready are left as they are unless ``force``. If making the triples fails, the
+        documents are listed as failed and the error is raised.
+        """
+        docs = documents.select("doc", "text").filter("doc is not null").dropDuplicates(["doc"])
+        if not force and self._has("manifest"):
+            docs = docs.join(self.documents().filter("status = 'ready'").select("doc"), "doc", "left_anti")
+        docs = Staged(docs, "texts", n=F.count(F.lit(1)))
+        if not docs.seen["n"]:
+            return
+        docs.df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").parquet(f"{self.path}/texts")
+        try:
+            self.add(to_triples(docs.df), **kind)
+            missing = docs.df.select("doc").join(self.documents().select("doc"), "doc", "left_anti")
+            self._entries(missing.select("doc", F.lit("").alias("jurisdiction"), F.lit("").alias("format"), F.array().cast("array<string>").alias("tags"), F.lit("ready").alias("status"), F.lit(0).cast("long").alias("n_triples")))
+        except Exception:
+            self._entries(docs.df.select("doc", F.lit("").alias("jurisdiction"), F.lit("").alias("format"), F.array().cast("array<string>").alias("tags"), F.lit("failed").alias("status"), F.lit(0).cast("long").alias("n_triples")))
+            raise
+
+    def _has(self, part: str) -> bool:
+        fs, target = _file_system(self.spark, f"{self.path}/{part}")
+        return fs.exists(target)
+
+    def texts(self, *docs: str) -> DataFrame:
+        """(text, doc) of some documents, by default of all that are in the library."""
+        t = self.spark.read.schema("text string, doc string").parquet(f"{self.path}/texts")
+        return t.filter(F.col("doc").isin(list(docs))) if docs else t.join(self.documents().select("doc"), "doc", "left_semi")
+
     def remove(self, *docs: str) -> None:
         """Take documents out of the library; their files stay until their next addition."""
         self._entries(self.spark.createDataFrame([(d, "", "", [], "removed", 0) for d in docs], _MANIFEST))

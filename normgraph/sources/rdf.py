@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.functions.text import escape_literal, escape_xml
-from normgraph.operators.graph import NAMESPACES
+from normgraph.operators.graph import NAMESPACES, compact_uris
 
 
 def _iri(c: Column) -> Column:
@@ -51,7 +51,11 @@ def _grouped(t: DataFrame) -> DataFrame:
 
 
 def turtle(t: DataFrame, namespaces: dict[str, str] = NAMESPACES) -> DataFrame:
-    """(s, block): one Turtle block per subject, to be written in the order of s after :func:`turtle_head`."""
+    """(s, block): one Turtle block per subject, to be written in the order of s after :func:`turtle_head`.
+
+    URIs of the namespaces are written with their prefixes.
+    """
+    t = compact_uris(t.select("s", "p", "o"), namespaces=namespaces)
     predicate = lambda p: F.when(p == "rdf:type", "a").otherwise(turtle_term(p))
     line = lambda x: F.concat(F.lit("    "), predicate(x["p"]), F.lit(" "), F.array_join(F.transform(x["os"], turtle_term), ", "))
     return _grouped(t).select("s", F.concat(turtle_term(F.col("s")), F.lit("\n"), F.array_join(F.transform("ps", line), " ;\n"), F.lit(" .\n")).alias("block"))
