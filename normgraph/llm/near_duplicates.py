@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normgraph.llm.hashing import band_keys, bands_for, mix64, most_unequal
@@ -28,6 +28,7 @@ _SPREAD = 1.25  # the largest weight of a run over the least one
 _ROWS = 3
 _RECALL = 0.9999  # of a pair that is just enough alike, in the worst case of weights
 _SKETCH = 4  # words of 32 two-bit samples, by which most of what the bands propose is dropped
+_CARRIED = 2  # words of the sketch that go along with each band
 _LOSS = 1e-5  # of pairs that are just enough alike, to the sketch
 _CROWD = 1000  # members of a band that one task pairs with each other
 
@@ -144,27 +145,31 @@ def _sketch(suffix: str = "") -> list[str]:
     return [f"s{k}{suffix}" for k in range(_SKETCH)]
 
 
-def likely_pairs(pairs: DataFrame, sampled: DataFrame, similarity: float, least: float) -> DataFrame:
-    """Those of the pairs whose sizes and sketches allow a weighted ``similarity`` and a plain one of ``least``."""
-    for x in "ab":
-        pairs = pairs.join(sampled.select(F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _sketch()]), f"cid_{x}")
+def _allowed(words: int, similarity: float, least: float) -> Column:
+    """Whether the sizes and the first ``words`` words of two sketches (columns with _a and _b) allow a weighted ``similarity`` and a plain one of ``least``."""
     unequal = F.lit(0)
-    for c in _sketch():
+    for c in _sketch()[:words]:
         x = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-6
-    return pairs.filter(fits & (unequal <= most_unequal(similarity, 32 * _SKETCH, _LOSS))).select("cid_a", "cid_b")
+    return fits & (unequal <= most_unequal(similarity, 32 * words, _LOSS))
+
+
+def likely_pairs(pairs: DataFrame, sampled: DataFrame, similarity: float, least: float) -> DataFrame:
+    """Those of the pairs whose sizes and whole sketches allow a weighted ``similarity`` and a plain one of ``least``."""
+    for x in "ab":
+        pairs = pairs.join(sampled.select(F.col("cid").alias(f"cid_{x}"), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _sketch()]), f"cid_{x}")
+    return pairs.filter(_allowed(_SKETCH, similarity, least)).select("cid_a", "cid_b")
 
 
-def banded_pairs(bands: DataFrame, crowd: int = _CROWD, either: str | None = None) -> DataFrame:
-    """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band) that share a band; with ``either``, a boolean
-    column, only pairs of which it holds for one or both.
+def banded_pairs(bands: DataFrame, crowd: int = _CROWD, fits: Column | None = None) -> DataFrame:
+    """(cid_a, cid_b), cid_a < cid_b, once each: pairs of (cid, band, ..) that share a band, and for which the condition
+    ``fits`` on their other columns, with _a and _b after their names, holds. It is checked where pairs are made.
 
     A band of more than ``crowd`` members, found by a map-side count, is split: each task pairs ``crowd`` of them with all.
     """
-    bands = bands.select("cid", "band", *([F.col(either).alias("holds")] if either else []))
-    pair = "cid_a < cid_b" + (" and (holds_a or holds_b)" if either else "")
-    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in ("cid", "holds") if c in df.columns})
+    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in bands.columns if c != "band"})
+    pair = (F.col("cid_a") < F.col("cid_b")) & (F.lit(True) if fits is None else fits)
     crowds = Staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd), "crowds", n=F.count(F.lit(1)))
     if not crowds.seen["n"]:
         return side(bands, "a").join(side(bands, "b"), "band").filter(pair).select("cid_a", "cid_b").distinct()
@@ -216,7 +221,7 @@ def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int
 
     A pair that is just enough alike shares a band with a probability of at least
     0.9999, whatever the frequencies of its runs, and is lost to the sketch with one of
-    at most 1e-5; more alike ones are rather found.
+    at most 2e-5; more alike ones are rather found.
     """
     spark = records.sparkSession
     rows_in = records.select(F.col(key).cast("long").alias("id"), *fields).filter("id is not null")
@@ -229,7 +234,9 @@ def near_duplicates(records: DataFrame, key: str, fields: Sequence[str], n: int
     n_bands = max(bands_for(least_weighted(least), _ROWS, _RECALL), -(-32 * _SKETCH // _ROWS))
     columns = ", ".join(["cid long", "bands array<long>", "size int", *[f"{c} long" for c in _sketch()]])
     sampled = Staged(sets.select("cid", "runs").mapInArrow(_sampled(df, total, n_bands), columns), "sampled")
-    pairs = banded_pairs(sampled.df.select("cid", F.explode("bands").alias("band")))
+    # half of the sketch goes along with the bands, so that of the many pairs little alike few leave the join
+    some = sampled.df.select("cid", "size", *_sketch()[:_CARRIED], F.explode("bands").alias("band"))
+    pairs = banded_pairs(some, fits=_allowed(_CARRIED, least_weighted(least), least))
     pairs = likely_pairs(pairs, sampled.df, least_weighted(least), least)
     side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ("cid", "sig", "runs")])
     links = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(_alike(least, df, total), "sig_a binary, sig_b binary, alike double, weighted double")
