@@ -92,6 +92,25 @@ def opposed_directives(norm_rows: DataFrame, least: int = 1, shortest: int = 5)
     return j.withColumn("kind", kind).filter("kind is not null").select("a", "b", "kind", "n_shared")
 
 
+# Phrases that make a right narrower.
+NARROWING = ("except when", "except where", "except in cases", "unless", "provided that", "subject to", "limited to", "only if", "only when", "only where", "shall not apply", "does not apply", "notwithstanding", "restricted to")
+
+
+def narrowed(pairs: DataFrame, keys: tuple[str, ...], before: str = "before", after: str = "after") -> DataFrame:
+    """(keys, added, change): texts to which phrases that make a right narrower are 'narrowing' added, or from which all of them are gone: 'expansion'."""
+    held = lambda c: F.filter(F.array(*map(F.lit, NARROWING)), lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w))
+    a, b = held(F.col(before)), held(F.col(after))
+    added, gone = F.array_except(b, a), F.array_except(a, b)
+    change = F.when(F.size(added) > 0, "narrowing").when(F.size(gone) > 0, "expansion")
+    return pairs.select(*keys, F.array_join(F.array_sort(added), ", ").alias("added"), change.alias("change")).filter("change is not null")
+
+
+def orphaned(changes: DataFrame, references: DataFrame, target: str = "target") -> DataFrame:
+    """(target, source): references (source, target) that a repeal or redesignation among the changes (target, kind) leaves without what they refer to."""
+    gone = changes.filter(F.col("kind").isin("repeal", "redesignate")).select(target).distinct()
+    return references.select(F.col("target").alias(target), "source").distinct().join(gone, target, "left_semi")
+
+
 def swimlanes(events: DataFrame, by: str, at: str = "ts") -> DataFrame:
     """Events with lane and their place in it; an array column gives an event a lane per element, null and blank lanes are left out."""
     kind = dict(events.dtypes)[by]

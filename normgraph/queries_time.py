@@ -254,6 +254,19 @@ def m_affected(spark, d):
     return mi.affected(changes, refs)
 
 
+def m_narrowed(spark, d):
+    """Clauses that a version narrows or widens."""
+    c = _t(spark, d, "clause_changes").dropDuplicates(["change_id"])
+    return mi.narrowed(c, ("change_id",), "base_text", "target_text")
+
+
+def m_orphaned(spark, d):
+    """Provisions that refer to instruments which are deleted."""
+    refs = _t(spark, d, "external_refs").filter("ref_text is not null").select(F.concat_ws("#", "document", "provision").alias("source"), F.lower(F.trim("ref_text")).alias("target"))
+    gone = _t(spark, d, "instruments").filter("is_deleted").select(F.lower(F.trim("citation")).alias("target"), F.lit("repeal").alias("kind"))
+    return mi.orphaned(gone, refs)
+
+
 # matching
 
 
@@ -306,7 +319,7 @@ def f_articles(spark, d):
     return _t(spark, d, "external_refs").select("row_id", fn.article_number(F.concat(F.col("document"), F.lit(":"), F.col("provision"))).alias("article"))
 
 
-QUERIES = SPARQL | {f.__name__: f for f in (g_point, g_least, g_domains, g_nodes, g_subgraph_edges, g_cycles, g_search, g_neighbours, g_top_predicates, c_fetch_plan, c_documents, v_graph_list, v_graph_stats, v_graph_at, v_state, v_in_force, v_as_of, v_between, v_between_meetings, v_adopted, v_stats, v_mean_duration, v_compare, t_overdue, t_blocked, t_quorum, t_evolution, b_network, m_speakers, m_bodies, m_bill_changes, m_affected, r_mentions, r_scenario, e_paragraphs, f_snippets, f_formats, f_relative_days, f_clause_order, f_articles)}
+QUERIES = SPARQL | {f.__name__: f for f in (g_point, g_least, g_domains, g_nodes, g_subgraph_edges, g_cycles, g_search, g_neighbours, g_top_predicates, c_fetch_plan, c_documents, v_graph_list, v_graph_stats, v_graph_at, v_state, v_in_force, v_as_of, v_between, v_between_meetings, v_adopted, v_stats, v_mean_duration, v_compare, t_overdue, t_blocked, t_quorum, t_evolution, b_network, m_speakers, m_bodies, m_bill_changes, m_affected, m_narrowed, m_orphaned, r_mentions, r_scenario, e_paragraphs, f_snippets, f_formats, f_relative_days, f_clause_order, f_articles)}
 
 _N = "with n as (select distinct subject s, coalesce(a.predicate, t.predicate) p, object o from triples t left join attributes a on t.predicate = a.full_uri where subject <> '' and t.predicate <> '' and object <> '') "
 _NAT = "with t as (select 'nation:' || n_nationkey s, 'rdf:type' p, 't:Nation' o from nation union all select 'nation:' || n_nationkey, 't:name', n_name from nation union all select 'nation:' || n_nationkey, 't:region', 'region:' || n_regionkey from nation union all select 'region:' || r_regionkey, 'rdf:type', 't:Region' from region union all select 'region:' || r_regionkey, 't:name', r_name from region"
@@ -361,6 +374,8 @@ SQL = {
     "m_bodies": r"with m as (select doc_id, unnest(regexp_extract_all(text, '\b(?:Council|Committee|Commission|Ministry)[ \t]+(?:of|for|on)[ \t]+(?:the[ \t]+)?[A-Z]\w+(?:[ \t]+[A-Z]\w+){0,3}')) x from documents) select doc_id, x as body, count(*) as n from m group by 1, 2",
     "m_bill_changes": r"""select change_id, '1' as section, 'strike_insert' as kind, cast(change_id as varchar) as target, regexp_replace(clause_title, '["\n]', ' ', 'g') as old, regexp_replace(rule_no, '["\n]', ' ', 'g') as "new" from (select distinct on (change_id) * from clause_changes where clause_title <> '' and rule_no <> '')""",
     "m_affected": "with r as (select lower(trim(ref_text)) target, count(distinct concat_ws('#', document, provision)) n from external_refs where ref_text is not null group by 1), c as (select distinct lower(trim(citation)) target, case when is_deleted then 'repeal' else 'replace' end kind from instruments) select c.target, kind, coalesce(n, 0) as n_referring from c left join r on c.target = r.target",
+    "m_narrowed": "with c as (select distinct on (change_id) change_id, lower(coalesce(base_text, '')) a, lower(coalesce(target_text, '')) b from clause_changes), p as (select unnest(['except when', 'except where', 'except in cases', 'unless', 'provided that', 'subject to', 'limited to', 'only if', 'only when', 'only where', 'shall not apply', 'does not apply', 'notwithstanding', 'restricted to']) w), x as (select change_id, string_agg(w, ', ' order by w) filter (where contains(b, w) and not contains(a, w)) n, count(*) filter (where contains(a, w) and not contains(b, w)) g from c, p group by 1) select change_id, coalesce(n, '') as added, case when n is not null then 'narrowing' else 'expansion' end as change from x where n is not null or g > 0",
+    "m_orphaned": "select distinct lower(trim(ref_text)) as target, concat_ws('#', document, provision) as source from external_refs where lower(trim(ref_text)) in (select lower(trim(citation)) from instruments where is_deleted)",
     "r_mentions": r"with s as (select distinct series m from meetings where series is not null), w as (select m, list_filter(string_split_regex(lower(trim(m)), '\s+'), lambda x: x <> '') l from s), p as (select a.m m, lower(b.m) entity, list_concat(b.l, ['sitting']) x, a.l y from w a join w b on len(list_intersect(a.l, list_concat(b.l, ['sitting']))) > 0), k as (select m, entity, len(list_filter(y, lambda z: list_contains(x, z))) c, len(x) nx, len(y) ny from p), f as (select m, entity, c / (nx + ny - c) s from k where c / (nx + ny - c) >= 0.5) select m as mention, arg_min(entity, row(-s, entity)) as entity, max(s) as score from f group by 1",
     "f_snippets": r"with c as (select doc_id, text, instr(text, 'shall') - 1 a from documents where instr(text, 'shall') > 0) select doc_id, case when a > 50 then '…' else '' end || regexp_replace(regexp_replace(substr(text, greatest(a - 50, 0) + 1, least(a + 55, length(text)) - greatest(a - 50, 0)), '\s+', ' ', 'g'), '^ | $', '', 'g') || case when a + 55 < length(text) then '…' else '' end as snippet from c",
     "f_formats": "with o as (select o_orderkey, o_orderkey * 977 n, o_orderkey % 100000 s from orders) select o_orderkey, case when n >= 1073741824 then printf('%.1f GB', round(n / 1073741824, 1)) when n >= 1048576 then printf('%.1f MB', round(n / 1048576, 1)) when n >= 1024 then printf('%.1f KB', round(n / 1024, 1)) else n || ' B' end as size, format('{:,}', n) as number, case when s >= 3600 then printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) when s >= 60 then printf('%dm %02ds', s // 60, s % 60) else printf('%ds', s) end as time from orders join o using (o_orderkey)",

@@ -21,10 +21,14 @@ def watch_table(spark: SparkSession, path: str, schema, form: str = "parquet", g
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).format(form).load(path)
 
 
-def filter_documents(docs: DataFrame, title_contains: str | None = None, title_regex: str | None = None, category: str | None = None, since: str | None = None, until: str | None = None, at: str = "published_at") -> DataFrame:
-    """Documents that pass all given filters; a null never passes one that looks at it."""
+def filter_documents(docs: DataFrame, title_contains: str | None = None, title_regex: str | None = None, category: str | None = None, since: str | None = None, until: str | None = None, at: str = "published_at", youngest: str | None = None, oldest: str | None = None) -> DataFrame:
+    """Documents that pass all given filters; a null never passes one that looks at it.
+
+    ``youngest`` and ``oldest`` are ages, as '2 days', that a document must have reached, or not exceeded, when it is looked at.
+    """
     for given, test in (
         (title_contains, lambda v: F.lower("title").contains(v.lower())), (title_regex, lambda v: F.col("title").rlike(v)), (category, lambda v: F.col("category") == v),
+        (youngest, lambda v: F.col(at) <= F.current_timestamp() - F.expr(f"interval {v}")), (oldest, lambda v: F.col(at) >= F.current_timestamp() - F.expr(f"interval {v}")),
         (since, lambda v: F.col(at) >= F.lit(v).cast("timestamp")), (until, lambda v: F.col(at) < F.lit(v).cast("timestamp")),
     ):
         if given is not None:
@@ -57,6 +61,11 @@ def changed(docs: DataFrame, key: str = "path", checksum: str = "checksum") -> D
     return docs.select(key, checksum).groupBy(key).applyInPandasWithState(step, f"{key} string, {checksum} string, change string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def deleted(known: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """(key): keys of a state seen before that a listing no longer has."""
+    return known.select(key).distinct().join(now.select(key), key, "left_anti")
+
+
 def windowed_counts(events: DataFrame, at: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(start, by, n) per window of event time; rows later than ``late`` no longer count."""
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")

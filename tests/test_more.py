@@ -154,3 +154,45 @@ def test_command_line_on_texts_and_libraries(spark, tmp_path, capsys):
     lib.add(spark.createDataFrame([("a", "p", "b", "d1")], "s string, p string, o string, doc string"))
     assert main(["library", "list", str(tmp_path / "lib"), "--form", "csv"]) == 0 and "d1" in capsys.readouterr().out
     assert main(["library", "query", str(tmp_path / "lib"), "SELECT ?x WHERE { ?x p b }", "--form", "csv"]) == 0 and '"a"' in capsys.readouterr().out
+
+
+USLM = """<?xml version="1.0"?><uscDoc><meta>x</meta><title><num>TITLE 5</num><heading>ORGANIZATION</heading>
+<section><num>§ 101.</num><heading>Executive departments</heading><content><p>The &amp; departments are:</p></content></section></title></uscDoc>"""
+AKN = """<akomaNtoso xmlns="http://x"><act><meta><FRBRalias value="A/1"/></meta><body><paragraph eId="p1"><num>1.</num><content><p>Decides to <b>act</b>;</p></content></paragraph>
+<paragraph><num>2.</num><p>Requests more.</p></paragraph></body></act></akomaNtoso>"""
+
+
+def test_bulk_sources(spark, tmp_path):
+    from normgraph.sources import bulk, connectors
+
+    one = spark.createDataFrame([(USLM,), (None,), ("",)], "x string").select(bulk.code_text(F.col("x")).alias("t"))
+    assert rows(one.filter("t <> ''")) == [("TITLE 5 ORGANIZATION\n§ 101. Executive departments\nThe & departments are:",)]
+    (tmp_path / "r.xml").write_text(AKN)
+    (tmp_path / "s.xml").write_text("<a/>")
+    p = bulk.akoma_ntoso(spark, str(tmp_path / "*.xml"))
+    assert rows(p) == [("A/1", 1, "Decides to act ;"), ("A/1", 2, "Requests more.")]
+    assert ("urn:resolution:A/1#2", "reg:actionVerb", "requests") in rows(connectors.resolution_triples(p))
+    lib = Library(spark, str(tmp_path / "lib"))
+    make = lambda d: d.select(F.col("doc").alias("s"), F.lit("p").alias("p"), F.col("text").alias("o"), "doc")
+    down = spark.createDataFrame([("usc", "d1", "Title 5", "a.xml", USLM), ("usc", "d2", "Other", "b.txt", "x"), ("cfr", "d3", "title 7", "c.html", "<p></p>"), ("cfr", "d4", None, "e.txt", "x")], "source string, doc string, title string, name string, content string")
+    assert rows(bulk.ingest_downloads(lib, down, make, "title")) == [("cfr", "empty", 1), ("cfr", "filtered", 1), ("usc", "filtered", 1), ("usc", "ingested", 1)]
+    assert rows(bulk.ingest_downloads(lib, down, make, "title"), "source", "status") == [("cfr", "empty"), ("cfr", "filtered"), ("usc", "filtered"), ("usc", "present")]
+    assert rows(lib.documents(), "doc", "status") == [("d1", "ready")]
+
+
+def test_ages_and_deletions(spark):
+    from normgraph.streaming import watch
+
+    docs = spark.createDataFrame([("a", 1), ("b", 10), ("c", None)], "path string, days int").withColumn("published_at", F.current_timestamp() - F.make_interval(days=F.col("days")))
+    assert rows(watch.filter_documents(docs, oldest="5 days"), "path") == [("a",)] and rows(watch.filter_documents(docs, youngest="5 days"), "path") == [("b",)]
+    assert rows(watch.deleted(docs, docs.filter("path <> 'b'"))) == [("b",)]
+
+
+def test_narrowing_and_orphans(spark):
+    from normgraph.operators import minutes as mi
+
+    pairs = spark.createDataFrame([(1, "may apply", "may apply unless refused, subject to fees"), (2, "may apply Unless refused", "may apply"), (3, None, None), (4, "x", "y")], "id long, before string, after string")
+    assert rows(mi.narrowed(pairs, ("id",))) == [(1, "subject to, unless", "narrowing"), (2, "", "expansion")]
+    refs = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("a", "t1")], "source string, target string")
+    gone = spark.createDataFrame([("t1", "repeal"), ("t2", "replace")], "target string, kind string")
+    assert rows(mi.orphaned(gone, refs)) == [("t1", "a")]
