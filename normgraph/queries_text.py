@@ -146,10 +146,6 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _count_rules(rules) -> str:
-    return " union all ".join(f"select doc_id, {_q(n)} as rule, len(regexp_extract_all(text, {_q(p)})) as k from documents where text is not null" for n, p in rules)
-
-
 def _formats_sql() -> str:
     out = []
     for name, f in _FORMATS.items():
@@ -163,9 +159,21 @@ _WORDS = "list_filter(string_split_regex(lower(trim({c})), '\\s+'), lambda w: w
 _SIM = "with c as (select distinct change_id, base_text, target_text from clause_changes where base_text <> '' and target_text <> ''), w as (select change_id, base_text a, target_text b, list_distinct(" + _WORDS.format(c="base_text") + ") x, list_distinct(" + _WORDS.format(c="target_text") + ") y from c), s as (select change_id, a, b, cast(case when len(x) + len(y) = 0 then 100 else floor(len(list_intersect(x, y)) * 100.0 / (len(x) + len(y) - len(list_intersect(x, y)))) end as int) similarity from w) "
 
 
+_NAMED = "select 'region:' || r_regionkey s, 'rdf:type' p, 't:Region' o, false lit from region union all select 'region:' || r_regionkey, 't:name', r_name, true from region union all select 'nation:' || n_nationkey, 'rdf:type', 't:Nation', false from nation union all select 'nation:' || n_nationkey, 't:name', n_name, true from nation union all select 'nation:' || n_nationkey, 't:region', 'region:' || n_regionkey, false from nation"
+_SUPPLIERS = " union all select 'supplier:' || s_suppkey, 'rdf:type', 't:Supplier', false from supplier union all select 'supplier:' || s_suppkey, 't:name', s_name, true from supplier union all select 'supplier:' || s_suppkey, 't:nation', 'nation:' || s_nationkey, false from supplier union all select 'supplier:' || s_suppkey, 't:balance', cast(s_acctbal as varchar), true from supplier"
+
 SQL = {
+    "x_turtle": f"with t as ({_NAMED}{_SUPPLIERS}) select s, s || chr(10) || string_agg('    ' || case when p = 'rdf:type' then 'a' else p end || ' ' || case when lit then '\"' || o || '\"' else o end, ' ;' || chr(10) order by p <> 'rdf:type', p) || ' .' || chr(10) as block from t group by s",
+    "x_jsonld": f"with t as ({_NAMED}{_SUPPLIERS}) select s, '{{\"@id\":\"' || s || '\",' || string_agg('\"' || case when p = 'rdf:type' then '@type' else p end || '\":\"' || o || '\"', ',' order by p <> 'rdf:type', p) || '}}' as json from t group by s",
+    "x_rdfxml": f"with t as ({_NAMED}) select s, '  <rdf:Description rdf:about=\"' || s || '\">' || chr(10) || string_agg('    <' || p || '>' || o || '</' || p || '>', chr(10) order by p <> 'rdf:type', p) || chr(10) || '  </rdf:Description>' as block from t group by s",
     "e_reference_counts": r"select doc_id, target, cast(sum(k) as bigint) as n from (select doc_id, 'regulation' as target, len(regexp_extract_all(text, '\b(Regulation|Reg\.)\s+\([A-Z]{2}\)\s+(No\.?\s+)?\d+/\d+')) k from documents union all select doc_id, 'directive', len(regexp_extract_all(text, '\bDirective\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents union all select doc_id, 'decision', len(regexp_extract_all(text, '\bDecision\s+(\([A-Z]{2}\)\s+)?(No\.?\s+)?\d+/\d+')) from documents) where k > 0 group by 1, 2",
-    "e_norm_counts": f"select rule, cast(sum(k) as bigint) as n, count(*) as n_docs from ({_count_rules([(f'{k}:{f}', p) for k, f, p in ex.NORMS])}) where k > 0 group by 1",
+    "e_norm_counts": r"""select rule, cast(sum(k) as bigint) as n, count(*) as n_docs from (
+select 'prohibition:not' as rule, len(regexp_extract_all(text, '(?i)\b(shall|must|may)\s+not\s+\w+')) k from documents union all
+select 'right:right_to', len(regexp_extract_all(text, '(?i)\b(has|have)\s+the\s+right\s+to\s+\w+')) from documents union all
+select 'right:entitled', len(regexp_extract_all(text, '(?i)\b(is|are)\s+entitled\s+to\s+\w+')) from documents union all
+select 'right:may', len(regexp_extract_all(text, '(?i)\bmay\s+\w+')) from documents union all
+select 'obligation:required', len(regexp_extract_all(text, '(?i)\b(is|are)\s+required\s+to\s+\w+')) from documents union all
+select 'obligation:shall', len(regexp_extract_all(text, '(?i)\b(shall|must)\s+\w+')) from documents) where k > 0 group by 1""",
     "e_lines": r"select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) l from documents) where trim(l) <> '' group by 1",
     "e_provisions": r"""with l as (select doc_id, unnest(range(len(x))) n, unnest(x) line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') x from documents where text is not null)),
 t as (select doc_id, n, trim(line) line from l where trim(line) <> ''),
