@@ -35,12 +35,13 @@ def table_triples(df: DataFrame, table: str) -> DataFrame:
     """
     keys, columns = RELATIONAL[table]
     s = _uri(table, *keys).alias("s")
-    parts = [df.select(s, F.lit("rdf:type").alias("p"), F.lit(f"t:{table.capitalize()}").alias("o"))]
+    # where keys repeat, the columns of a branch are made distinct before they become text: each branch is a set then, and so is their union
+    once = lambda *c: df.select(*dict.fromkeys(c)).distinct() if table in REPEATED else df
+    parts = [once(*keys).select(s, F.lit("rdf:type").alias("p"), F.lit(f"t:{table.capitalize()}").alias("o"))]
     for p, (column, target) in columns.items():
         o = _uri(target, column) if target else F.col(column).cast("string")
-        parts.append(df.filter(F.col(column).isNotNull()).select(s, F.lit(p).alias("p"), o.alias("o")))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.distinct() if table in REPEATED else out
+        parts.append(once(*keys, column).filter(F.col(column).isNotNull()).select(s, F.lit(p).alias("p"), o.alias("o")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def relational_graph(spark: SparkSession, d: str, tables: tuple[str, ...] = tuple(RELATIONAL)) -> TripleGraph:
