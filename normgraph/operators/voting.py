@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from normgraph.staging import Staged, buckets_for
+
+_JOINED = 4  # pairs within votes and positions, per row of votes, up to which they are joined and shuffled
+_PER_TASK = 1 << 28  # of such pairs that are counted in one task otherwise
+_PER_BLOCK = 4_000_000  # rows of votes of a block of voters
+_OUT = 50_000
 
 
 def voter_profiles(votes: DataFrame) -> DataFrame:
@@ -16,17 +29,115 @@ def coalitions(votes: DataFrame, threshold: float = 0.8, least: int = 5) -> Data
     """(voter_a, voter_b, n_shared, n_votes, rate): pairs that took the same position in a share of at
     least ``threshold`` of the votes of the one who voted less, who has at least ``least``.
 
-    A voter's last position counts where a vote holds several (the largest in text order). Pairs come
-    from a join within vote and position, counted map-side: the members of one assembly bound it.
+    A voter's last position counts where a vote holds several (the largest in text order). Few pairs come
+    from a join within vote and position, counted map-side. Where they are many times the rows, they are not
+    shuffled: voters are put in blocks, and each pair of blocks is counted whole by one task, from the lists
+    of members of the positions that both share.
     """
-    v = votes.groupBy("vote", "voter").agg(F.max("position").alias("position"), F.count(F.lit(1)).alias("n"))
-    total = v.groupBy("voter").agg(F.sum("n").alias("n_votes"))
-    a = v.select("vote", "position", F.col("voter").alias("voter_a"))
-    b = v.select("vote", "position", F.col("voter").alias("voter_b"))
+    v = Staged(votes.groupBy("vote", "voter").agg(F.max("position").alias("position"), F.count(F.lit(1)).alias("n")), "votes")
+    # a voter of fewer votes is in no pair
+    total = Staged(v.df.filter("voter is not null").groupBy("voter").agg(F.sum("n").alias("n_votes")).filter(F.col("n_votes") >= least), "voters")
+    taken = v.df.filter("vote is not null and position is not null").select("vote", "position", "voter")
+    size = taken.groupBy("vote", "position").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n_rows, n_pairs = size.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))).first()
+    if n_pairs <= _JOINED * n_rows:
+        shared = _joined(taken, total.df)
+    else:
+        shared = _counted(taken, total.df, max(math.ceil(math.sqrt(2 * n_pairs / _PER_TASK)), buckets_for(int(n_rows), _PER_BLOCK)), threshold)
+        v.drop()
+    rate = F.col("n_shared") / F.col("n_votes")
+    return shared.withColumn("rate", rate).filter(F.col("rate") >= threshold).select("voter_a", "voter_b", "n_shared", "n_votes", "rate")
+
+
+def _joined(taken: DataFrame, total: DataFrame) -> DataFrame:
+    """(voter_a, voter_b, n_shared, n_votes) of all pairs that share a position (vote, position, voter), by a join."""
+    a, b = taken.withColumnRenamed("voter", "voter_a"), taken.withColumnRenamed("voter", "voter_b")
     shared = a.join(b, ["vote", "position"]).filter("voter_a < voter_b").groupBy("voter_a", "voter_b").agg(F.count(F.lit(1)).alias("n_shared"))
     ta, tb = total.select(F.col("voter").alias("voter_a"), F.col("n_votes").alias("na")), total.select(F.col("voter").alias("voter_b"), F.col("n_votes").alias("nb"))
-    out = shared.join(ta, "voter_a").join(tb, "voter_b").withColumn("n_votes", F.least("na", "nb"))
-    return out.withColumn("rate", F.col("n_shared") / F.col("n_votes")).filter((F.col("n_votes") >= least) & (F.col("rate") >= threshold)).select("voter_a", "voter_b", "n_shared", "n_votes", "rate")
+    return shared.join(ta, "voter_a").join(tb, "voter_b").select("voter_a", "voter_b", "n_shared", F.least("na", "nb").alias("n_votes"))
+
+
+def _counted(taken: DataFrame, total: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """As :func:`_joined`, of those pairs only whose share is at least ``threshold``; voters in so many blocks."""
+    block = F.pmod(F.xxhash64("voter"), F.lit(blocks)).cast("int")
+    voters = Staged(total.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("voter", "n_votes"))).alias("of")), "blocks")
+    places = voters.df.select("block", F.posexplode("of").alias("at", "of")).select("block", "at", "of.voter")
+    lists = Staged(taken.join(places, "voter").groupBy("vote", "position", "block").agg(F.collect_list("at").alias("at")), "lists")
+    pair = lambda lo, hi: (hi.cast("long") * (hi + 1) / 2).cast("long") + lo
+    none = F.lit(None).cast("array<int>")
+    side = lambda x: lists.df.select("vote", "position", F.col("block").alias(f"block_{x}"), F.col("at").alias(x))
+    met = side("a").join(side("b"), ["vote", "position"]).filter("block_a <= block_b")
+    met = met.select(pair(F.col("block_a"), F.col("block_b")).alias("pair"), F.lit(2).alias("kind"), (F.col("block_a") == F.col("block_b")).alias("twin"), "a", "b", F.lit(None).cast(voters.df.schema["of"].dataType).alias("of"))
+    other = voters.df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    head = lambda kind, lo, hi: other.filter(F.col(lo) <= F.col(hi)).select(pair(F.col(lo), F.col(hi)).alias("pair"), F.lit(kind).alias("kind"), (F.col("block") == F.col("other")).alias("twin"), none.alias("a"), none.alias("b"), "of")
+    sent = head(0, "block", "other").unionByName(head(1, "other", "block")).unionByName(met)
+    parts = min(blocks * (blocks + 1) // 2, 20_000)
+    sent = sent.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int")).sortWithinPartitions("pair", "kind")
+    voter = taken.schema["voter"].dataType
+    out = T.StructType([T.StructField("x", voter), T.StructField("y", voter), T.StructField("n_shared", T.LongType()), T.StructField("n_votes", T.LongType())])
+    found = sent.mapInArrow(_count_blocks(threshold), out)
+    return found.select(F.least("x", "y").alias("voter_a"), F.greatest("x", "y").alias("voter_b"), "n_shared", "n_votes")
+
+
+def _needed(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The least number of shared positions, one at least, whose share of ``n`` is at least ``threshold``; it does not fall as n grows."""
+    k = np.maximum(np.ceil(n * threshold), 1).astype(np.int64)
+    k = np.where((k > 1) & ((k - 1) / n >= threshold), k - 1, k)
+    return np.where(k / n >= threshold, k, k + 1)
+
+
+def _count_blocks(threshold: float):
+    """Rows of a pair of blocks follow each other: the voters of either (kind 0 and 1), then the members, in the blocks, of each position."""
+
+    def pairs(voters: list[pa.StructArray], twin: bool, a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        (names_a, n_a), (names_b, n_b) = [(of.field("voter"), np.asarray(of.field("n_votes"))) for of in voters]
+        need_a, need_b, width = _needed(n_a, threshold), _needed(n_b, threshold), len(n_b)
+        least = need_b.min()
+        members = np.concatenate(a)
+        order = np.argsort(members, kind="stable")
+        place, row = members[order], np.repeat(np.arange(len(a)), [len(m) for m in a])[order]
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        left, right, shared, held = [], [], [], 0
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+            at = place[lo]
+            hits = np.concatenate([b[r] for r in row[lo:hi].tolist()])
+            if len(hits) * 16 < width:
+                met, k = np.unique(hits, return_counts=True)
+            else:
+                k = np.bincount(hits, minlength=width)
+                met = np.flatnonzero(k >= min(need_a[at], least))
+                k = k[met]
+            keep = k >= np.minimum(need_b[met], need_a[at])
+            if twin:
+                keep &= met > at
+            met = met[keep]
+            left.append(np.full(len(met), at))
+            right.append(met)
+            shared.append(k[keep])
+            held += len(met)
+            if held >= _OUT or hi == len(place):
+                x, y, k = np.concatenate(left), np.concatenate(right), np.concatenate(shared)
+                yield pa.RecordBatch.from_arrays([names_a.take(pa.array(x)), names_b.take(pa.array(y)), pa.array(k.astype(np.int64)), pa.array(np.minimum(n_a[x], n_b[y]))], names=["x", "y", "n_shared", "n_votes"])
+                left, right, shared, held = [], [], [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, voters, twin, a, b = None, [], False, [], []
+        for batch in batches:
+            kinds, twins = batch["kind"].to_pylist(), batch["twin"].to_pylist()
+            for i, p in enumerate(batch["pair"].to_pylist()):
+                if p != now:
+                    if a:
+                        yield from pairs(voters, twin, a, b)
+                    now, voters, twin, a, b = p, [], twins[i], [], []
+                if kinds[i] == 2:
+                    a.append(batch["a"][i].values.to_numpy())
+                    b.append(batch["b"][i].values.to_numpy().astype(np.int64))
+                else:
+                    voters.append(batch["of"][i].values)
+        if a:
+            yield from pairs(voters, twin, a, b)
+
+    return run
 
 
 def _by_topic(votes: DataFrame) -> DataFrame:

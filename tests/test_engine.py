@@ -1,8 +1,11 @@
 """The query engine, walks, versions, votes, extraction, files, library and streams on small fixtures."""
 
 import io
+import itertools
 import json
+import random
 import zipfile
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -167,6 +170,34 @@ def test_votes(spark):
     assert rows(voting.voter_profiles(v.filter("voter = 'a'"))) == [("a", 8, 7, 1, 0, 0)]
 
 
+def test_votes_of_many_pairs(spark, monkeypatch):
+    """Pairs that are many times the rows are not shuffled: voters are counted in blocks, with the results of a join."""
+    draw = random.Random(3)
+    cast = [(f"v{k}" if k else None, f"w{w:02}" if w else None, draw.choice(["for", "against", "abstain", None])) for k in range(30) for w in range(60) for _ in range(draw.choice([0, 1, 1, 2 if w % 7 else 0]))]
+    last, total = {}, Counter(w for _, w, _ in cast)
+    for v, w, p in cast:
+        last[v, w] = max(last.get((v, w), ""), p or "")
+    want = []
+    for a, b in itertools.combinations(sorted(w for w in total if w), 2):
+        same, n = sum(1 for k in range(1, 30) if last.get((f"v{k}", a)) and last.get((f"v{k}", a)) == last.get((f"v{k}", b))), min(total[a], total[b])
+        if n >= 20 and same and same / n >= 0.25:
+            want.append((a, b, same, n, same / n))
+    assert 50 < len(want) < 500
+    v = spark.createDataFrame(cast, "vote string, voter string, position string")
+    out = voting.coalitions(v, 0.25, 20)
+    assert "hashpartitioning(voter_a" not in out._jdf.queryExecution().toString()
+    assert rows(out) == want
+    monkeypatch.setattr(voting, "_PER_TASK", 1000)
+    assert rows(voting.coalitions(v, 0.25, 20)) == want
+    assert [r[:3] for r in rows(voting.coalitions(v, -1.0, 0))] == [r[:3] for r in _joined_votes(voting, v, monkeypatch)]
+    assert rows(voting.coalitions(v.limit(0))) == []
+
+
+def _joined_votes(voting, v, monkeypatch):
+    monkeypatch.setattr(voting, "_JOINED", 1e9)
+    return rows(voting.coalitions(v, -1.0, 0))
+
+
 def test_functions(spark):
     df = spark.createDataFrame([("IV", "<p>A &amp; B<br>C</p><script>x</script>", "The  Dr. X", "25 May 2018", "https://www.A.org/x", "Personal Data!", "r:GDPR:Art17(1)")], "r string, h string, n string, d string, u string, t string, a string")
     got = df.select(fn.roman_value(F.col("r")), fn.html_text(F.col("h")), fn.plain_name(F.col("n")), fn.day(F.col("d")).cast("string"), fn.domain(F.col("u")), fn.slug(F.col("t")), fn.article_number(F.col("a"))).collect()[0]
