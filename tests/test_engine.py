@@ -8,6 +8,7 @@ import zipfile
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,14 @@ def test_votes_of_many_pairs(spark, monkeypatch):
     assert rows(voting.coalitions(v.limit(0))) == []
 
 
+def test_least_number_of_shared_positions():
+    """The whole number by which pairs are kept is where the quotient of the result reaches the threshold, exactly."""
+    n = np.arange(1, 2000)
+    for threshold in (0.05, 0.1, 0.3, 1 / 3, 0.8, 0.07, 1.0, 0.0):
+        k = voting._needed(n, threshold)
+        assert (k / n >= threshold).all() and ((k == 1) | ((k - 1) / n < threshold)).all() and (np.diff(k) >= 0).all()
+
+
 def _joined_votes(voting, v, monkeypatch):
     monkeypatch.setattr(voting, "_JOINED", 1e9)
     return rows(voting.coalitions(v, -1.0, 0))
