@@ -3,8 +3,8 @@
 Each spelling is read as a person, body or delegation with a core (family name
 or place), a given name or subject, and its parts. MinHash bands over the padded
 q-grams of its parts, in whatever order these stand, propose pairs; for what is
-too short for the collision curve, keys that every two cores within the accepted
-edits share propose the rest. A Monge–Elkan similarity over the parts verifies
+too short for the collision curve, or too frequent for bands, keys that every two
+cores or parts within the accepted edits share propose the rest. A Monge–Elkan similarity over the parts verifies
 pairs; star clustering turns links into entities.
 """
 
@@ -218,7 +218,9 @@ class Reader:
         return Reading("person", "".join(map(single_vowels, names)), (self._given(first) or first) if first else "", [], sorted(parts), sure)
 
     def distinctive(self, r: Reading) -> list[str]:
-        """The parts by which a reading is found: names that are neither frequent nor known given names, or all; of bodies, the place."""
+        """The parts by which bands find a reading: names that are neither frequent nor known given names, or all; of bodies, the place.
+
+        Pairs that fit only by what is left out here are proposed by :func:`part_candidates`."""
         own = [p for p in r.parts if p not in self.frequent and p not in _FORMAL]
         return own or r.parts or [r.core]
 
@@ -442,23 +444,51 @@ def core_pairs(cores: DataFrame) -> DataFrame:
     return pairs
 
 
+def part_candidates(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(nid_a, nid_b), nid_a < nid_b: all pairs of readings (nid, parts, sure) that :func:`_parts_fit` accepts, and some others.
+
+    pairs: (core_a, core_b), all pairs of different parts that fit by edits. Each reading of unsure order looks,
+    by that of its parts which fits parts of the fewest readings, for readings of as many parts; those stay in
+    which each part may fit one of the other's, either way. No part is too frequent to be looked for.
+    """
+    name = lambda p: F.named_struct(F.lit("p"), p, F.lit("known"), p.isin(list(_FORMAL)))
+    people = nodes.filter("kind = 'person' and size(parts) between 2 and 4").select("nid", "sure", F.size("parts").alias("n"), F.transform("parts", name).alias("names"), F.explode(F.array_distinct("parts")).alias("part"))
+    people = stage(people, "parts")
+    close = lambda x, y: F.levenshtein(x, y) <= F.when(F.least(F.length(x), F.length(y)) < 9, 2).otherwise(4)
+    edited = pairs.filter(close(F.col("core_a"), F.col("core_b")))
+    forms = nodes.sparkSession.createDataFrame([(x, y) for x, f in _FORMAL.items() for y, g in _FORMAL.items() if x != y and f & g], "part string, near string")
+    near = edited.select(F.col("core_a").alias("part"), F.col("core_b").alias("near")).unionByName(edited.select(F.col("core_b").alias("part"), F.col("core_a").alias("near"))).unionByName(forms)
+    near = stage(near.unionByName(people.select("part", F.col("part").alias("near")).distinct()), "near")
+    unsure = people.filter("not sure")
+    held = people.groupBy(F.col("part").alias("near"), "n").agg(F.count(F.lit(1)).alias("held"))
+    found = unsure.select("part", "n").distinct().join(near, "part").join(held, ["near", "n"]).groupBy("part", "n").agg(F.sum("held").alias("found"))
+    least = unsure.join(found, ["part", "n"]).groupBy("nid", "n").agg(F.min(F.struct("found", "part"))["part"].alias("part"), F.first("names").alias("names"))
+    a = least.join(near, "part").select("near", "n", F.col("nid").alias("nid_a"), F.col("names").alias("names_a"))
+    b = people.select(F.col("part").alias("near"), "n", F.col("nid").alias("nid_b"), F.col("names").alias("names_b"))
+    may = lambda x, y: close(x["p"], y["p"]) | (x["known"] & y["known"])
+    all_of = lambda one, other: F.forall(one, lambda x: F.exists(other, lambda y: may(x, y)))
+    met = a.join(b, ["near", "n"]).filter((F.col("nid_a") != F.col("nid_b")) & all_of("names_a", "names_b") & all_of("names_b", "names_a"))
+    return met.select(F.least("nid_a", "nid_b").alias("nid_a"), F.greatest("nid_a", "nid_b").alias("nid_b"))
+
+
 def candidates(nodes: DataFrame, common: dict[str, int]) -> DataFrame:
-    """(nid_a, nid_b), nid_a < nid_b, once each: pairs of readings (nid, core, ..) that may be similar.
+    """(nid_a, nid_b), nid_a < nid_b, once each: pairs of readings (nid, core, ..) that may be similar, all that are among them.
 
     Where the order of one's names is not sure, those that share a band of MinHash samples of their distinctive
-    parts. Where it is, cores can be compared, which are often too short for the collision curve: all pairs of cores
-    that fit and of a meeting key.
+    parts, and all whose parts fit. Where it is, cores can be compared, which are often too short for the collision
+    curve: all pairs of cores that fit and of a meeting key.
     """
     bands = nodes.mapInArrow(_bands(common, bands_for(_BANDED[0], _ROWS, _BANDED[1])), "cid long, band long, unsure boolean")
     banded = banded_pairs(stage(bands, "bands"), fits=F.col("unsure_a") | F.col("unsure_b")).select(F.col("cid_a").alias("nid_a"), F.col("cid_b").alias("nid_b"))
     keys = stage(nodes.mapInArrow(_meeting, "nid long, core string, shared array<string>, offered array<string>, sought array<string>"), "meeting")
     cores = stage(nodes.select("core").distinct(), "cores")
-    fits = core_pairs(cores)
-    fits = fits.unionByName(fits.select(F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b"))).unionByName(cores.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")))
+    of_parts = nodes.filter("kind = 'person'").select(F.explode("parts").alias("core"))
+    pairs = core_pairs(stage(cores.unionByName(of_parts).distinct(), "terms"))
+    fits = pairs.unionByName(pairs.select(F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b"))).unionByName(cores.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")))
     side = lambda role, x: keys.select(F.col("core").alias(f"core_{x}"), F.explode(role).alias("key"), F.col("nid").alias(f"nid_{x}"))
     shared = side("shared", "a").join(fits, "core_a").join(side("shared", "b"), ["core_b", "key"]).filter("nid_a < nid_b").select("nid_a", "nid_b")
     sought = side("sought", "a").join(fits, "core_a").join(side("offered", "b"), ["core_b", "key"]).filter("nid_a <> nid_b").select(F.least("nid_a", "nid_b").alias("nid_a"), F.greatest("nid_a", "nid_b").alias("nid_b"))
-    return banded.unionByName(shared).unionByName(sought).distinct()
+    return banded.unionByName(part_candidates(nodes, pairs)).unionByName(shared).unionByName(sought).distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

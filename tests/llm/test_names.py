@@ -85,6 +85,28 @@ def test_all_cores_that_fit_are_compared(spark):
     assert len(want) > 1000 and want <= set(got) and len(got) == len(set(got))
 
 
+def test_frequent_parts_hold_back_no_similar_pair(spark):
+    """Names of unsure order whose frequent part is typed in another way, too: all pairs that the verifier accepts are proposed."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("bdgklmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+    swap = lambda s, k: s[:k] + s[k + 1] + s[k] + s[k + 2 :]
+    spelled = []
+    for k in range(220):
+        own = word(3)
+        spelled.append(f"Garola {own.title()}")
+        if k % 4 == 0:
+            spelled += [f"{swap(own, k % 3 + 1).title()} Garloa", f"{own.title()} Garols Thomas", f"Tom {(own[:2] + 'x' + own[2:]).title()} Garolla", f"Tommy {own.title()} Garola", f"Garola {own.title()} Tom"]
+    spelled += [f"{w.title()} {w.title()}" for w in ("mirado", "miraod")]
+    common = {"garola": 275}
+    reader = nm.Reader(common)
+    assert reader.frequent == {"garola"}
+    read = [reader.read(n) for n in spelled]
+    nodes = spark.createDataFrame([(k, n, *r) for k, (n, r) in enumerate(zip(spelled, read))], f"nid long, node string, {nm._READING}")
+    want = {(a, b) for a, b in combinations(range(len(read)), 2) if nm.similarity(read[a], read[b]) > 0}
+    got = rows(nm.candidates(nodes, common))
+    assert len(want) > 150 and want <= set(got) and len(got) == len(set(got))
+
+
 def test_empty_and_swimlanes(spark):
     lanes = "group_by string, name string, entity string, lane_events array<struct<actors array<string>>>"
     empty = spark.createDataFrame([], lanes)
