@@ -16,7 +16,9 @@ from normgraph.staging import Staged, buckets_for
 _JOINED = 4  # pairs within votes and positions, per row of votes, up to which they are joined and shuffled
 _PER_TASK = 1 << 28  # of such pairs that are counted in one task otherwise
 _PER_BLOCK = 4_000_000  # rows of votes of a block of voters
+_SHORT = 1 << 15  # voters of a block whose places fit two bytes
 _OUT = 50_000
+_LATE = 4_000_000  # pairs held until they are put in order of the voter who voted less
 
 
 def voter_profiles(votes: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def coalitions(votes: DataFrame, threshold: float = 0.8, least: int = 5) -> Data
     A voter's last position counts where a vote holds several (the largest in text order). Few pairs come
     from a join within vote and position, counted map-side. Where they are many times the rows, they are not
     shuffled: voters are put in blocks, and each pair of blocks is counted whole by one task, from the lists
-    of members of the positions that both share.
+    of members of the positions that both share. Its rows come by the voter who voted less and by n_shared.
     """
     v = Staged(votes.groupBy("vote", "voter").agg(F.max("position").alias("position"), F.count(F.lit(1)).alias("n")), "votes")
     # a voter of fewer votes is in no pair
@@ -60,11 +62,12 @@ def _joined(taken: DataFrame, total: DataFrame) -> DataFrame:
 def _counted(taken: DataFrame, total: DataFrame, blocks: int, threshold: float) -> DataFrame:
     """As :func:`_joined`, of those pairs only whose share is at least ``threshold``; voters in so many blocks."""
     block = F.pmod(F.xxhash64("voter"), F.lit(blocks)).cast("int")
-    voters = Staged(total.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("voter", "n_votes"))).alias("of")), "blocks")
-    places = voters.df.select("block", F.posexplode("of").alias("at", "of")).select("block", "at", "of.voter")
+    voters = Staged(total.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("voter", "n_votes"))).alias("of")), "blocks", most=F.max(F.size("of")))
+    place = "smallint" if (voters.seen["most"] or 0) <= _SHORT else "int"
+    places = voters.df.select("block", F.posexplode("of").alias("at", "of")).select("block", F.col("at").cast(place).alias("at"), "of.voter")
     lists = Staged(taken.join(places, "voter").groupBy("vote", "position", "block").agg(F.collect_list("at").alias("at")), "lists")
     pair = lambda lo, hi: (hi.cast("long") * (hi + 1) / 2).cast("long") + lo
-    none = F.lit(None).cast("array<int>")
+    none = F.lit(None).cast(f"array<{place}>")
     side = lambda x: lists.df.select("vote", "position", F.col("block").alias(f"block_{x}"), F.col("at").alias(x))
     met = side("a").join(side("b"), ["vote", "position"]).filter("block_a <= block_b")
     met = met.select(pair(F.col("block_a"), F.col("block_b")).alias("pair"), F.lit(2).alias("kind"), (F.col("block_a") == F.col("block_b")).alias("twin"), "a", "b", F.lit(None).cast(voters.df.schema["of"].dataType).alias("of"))
@@ -86,18 +89,42 @@ def _needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(k / n >= threshold, k, k + 1)
 
 
+def _sorted(first: np.ndarray, k: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of whole numbers, not negative, in the order of the three in turn; by one sort of one number where they fit it."""
+    most, u, v = (int(x.max(initial=0)).bit_length() for x in (first, k, other))
+    if most + u + v > 63:
+        order = np.lexsort((other, k, first))
+        return first[order], k[order], other[order]
+    key = (first.astype(np.int64) << u | k) << v | other
+    key.sort()
+    return key >> u + v, key >> v & (1 << u) - 1, key & (1 << v) - 1
+
+
 def _count_blocks(threshold: float):
-    """Rows of a pair of blocks follow each other: the voters of either (kind 0 and 1), then the members, in the blocks, of each position."""
+    """Rows of a pair of blocks follow each other: the voters of either (kind 0 and 1), then the members, in the blocks, of each position.
+
+    Pairs come out by the voter who voted less, by n_shared, then by the other, in parts of ``_LATE`` pairs: values
+    that repeat follow each other, so files of them are small.
+    """
 
     def pairs(voters: list[pa.StructArray], twin: bool, a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         (names_a, n_a), (names_b, n_b) = [(of.field("voter"), np.asarray(of.field("n_votes"))) for of in voters]
         need_a, need_b, width = _needed(n_a, threshold), _needed(n_b, threshold), len(n_b)
         least = need_b.min()
+        rank = np.argsort(np.argsort(n_b, kind="stable"))  # within a block, pairs are those of a voter who voted less, or as much, and came first
+        small_a, small_b, small_k = (np.min_scalar_type(most) for most in (len(n_a), width, len(a)))
+
+        def rows(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(k), _OUT):
+                x, y = i[at : at + _OUT], j[at : at + _OUT]
+                yield pa.RecordBatch.from_arrays([names_a.take(pa.array(x)), names_b.take(pa.array(y)), pa.array(k[at : at + _OUT].astype(np.int64)), pa.array(np.minimum(n_a[x], n_b[y]))], names=["x", "y", "n_shared", "n_votes"])
+
         members = np.concatenate(a)
         order = np.argsort(members, kind="stable")
         place, row = members[order], np.repeat(np.arange(len(a)), [len(m) for m in a])[order]
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         left, right, shared, held = [], [], [], 0
+        late, n_late = [], 0  # of pairs whose second voter voted less
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
             at = place[lo]
             hits = np.concatenate([b[r] for r in row[lo:hi].tolist()])
@@ -109,16 +136,24 @@ def _count_blocks(threshold: float):
                 k = k[met]
             keep = k >= np.minimum(need_b[met], need_a[at])
             if twin:
-                keep &= met > at
+                keep &= rank[met] > rank[at]
             met = met[keep]
-            left.append(np.full(len(met), at))
-            right.append(met)
-            shared.append(k[keep])
+            left.append(np.full(len(met), at, small_a))
+            right.append(met.astype(small_b))
+            shared.append(k[keep].astype(small_k))
             held += len(met)
             if held >= _OUT or hi == len(place):
-                x, y, k = np.concatenate(left), np.concatenate(right), np.concatenate(shared)
-                yield pa.RecordBatch.from_arrays([names_a.take(pa.array(x)), names_b.take(pa.array(y)), pa.array(k.astype(np.int64)), pa.array(np.minimum(n_a[x], n_b[y]))], names=["x", "y", "n_shared", "n_votes"])
+                i, j, k = np.concatenate(left), np.concatenate(right), np.concatenate(shared)
+                less = n_b[j] < n_a[i]
+                x, n, y = _sorted(i[~less], k[~less], j[~less])
+                yield from rows(x, y, n)
+                late.append((j[less], k[less], i[less]))
+                n_late += len(late[-1][0])
                 left, right, shared, held = [], [], [], 0
+                if n_late >= _LATE or hi == len(place):
+                    y, n, x = _sorted(*(np.concatenate(of) for of in zip(*late)))
+                    yield from rows(x, y, n)
+                    late, n_late = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, voters, twin, a, b = None, [], False, [], []

@@ -194,6 +194,36 @@ def test_votes_of_many_pairs(spark, monkeypatch):
     assert rows(voting.coalitions(v.limit(0))) == []
 
 
+def test_pairs_of_blocks_follow_each_other(spark, monkeypatch):
+    """Equal values of the pairs counted in blocks follow each other, so files of many pairs are small; places need two bytes where they fit."""
+    draw = random.Random(5)
+    cast = [(f"v{k}", w, draw.choice(["for", "against"])) for w in range(300) for k in draw.sample(range(60), 20 + w % 23)]
+    v = spark.createDataFrame(cast, "vote string, voter long, position string")
+    monkeypatch.setattr(voting, "_JOINED", 0)
+    want = None
+    for per_task, short in ((1 << 28, 1 << 15), (60_000, 1 << 15), (60_000, 1)):
+        monkeypatch.setattr(voting, "_PER_TASK", per_task)
+        monkeypatch.setattr(voting, "_SHORT", short, raising=False)
+        out = voting.coalitions(v, 0.2)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) > 10_000 and len(set(got)) == len(got)
+        assert len(list(itertools.groupby(got, lambda r: r[2:]))) < len(got) / 4
+        assert sum(1 for x, y in itertools.pairwise(got) if x[0] != y[0] and x[1] != y[1]) < len(got) / 4
+        want = want or set(got)
+        assert set(got) == want
+        assert ("array<smallint>" in out._jdf.queryExecution().toString()) == (short > 1)
+    monkeypatch.setattr(voting, "_JOINED", 1e9)
+    assert {tuple(r) for r in voting.coalitions(v, 0.2).collect()} == want
+
+
+def test_rows_sorted_by_one_number_or_by_three():
+    draw = np.random.default_rng(2)
+    for most in ((200, 3, 200), (1 << 31, 1 << 20, 1 << 31), (1, 1, 1)):
+        x = [draw.integers(0, m, 500).astype(np.min_scalar_type(m)) for m in most]
+        assert list(zip(*(y.tolist() for y in voting._sorted(*x)))) == sorted(zip(*(y.tolist() for y in x)))
+    assert [len(y) for y in voting._sorted(*(y[:0] for y in x))] == [0, 0, 0]
+
+
 def test_least_number_of_shared_positions():
     """The whole number by which pairs are kept is where the quotient of the result reaches the threshold, exactly."""
     n = np.arange(1, 2000)
